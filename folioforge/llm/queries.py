@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.llm import neighbours, packing, tokens
+from folioforge.llm import nearcopies, neighbours, packing, tokens
 from folioforge.session import table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by their content, deliveries by the texts of their sections."""
+    chunks = table(spark, d, "document_chunk").select(F.lit("chunk").alias("kind"), F.col("chunk_uid").alias("id"), F.lit(None).cast("string").alias("grp"), F.col("content").alias("text"))
+    texts = F.transform(F.filter("sections", lambda s: s["text"].isNotNull()), lambda s: s["text"])
+    documents = table(spark, d, "ingest_document").select(F.lit("document").alias("kind"), F.col("delivery_id").alias("id"), F.col("document_id").alias("grp"), F.array_join(texts, " ").alias("text"))
+    return chunks.unionByName(documents)
+
+
+def _alike(spark: SparkSession, d: str) -> nearcopies.NearCopies:
+    return nearcopies.NearCopies(_texts(spark, d), k=3, least=0.6, min_words=40)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _alike(spark, d).pairs().withColumnRenamed("kind", "item_kind")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _alike(spark, d).groups().withColumnRenamed("kind", "item_kind")
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "document_chunk"), "chunk_uid", "content_vector")
 
