@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.llm import nearcopies, neighbours, packing, tokens
+from folioforge.llm import nearcopies, neighbours, packing, splitting, tokens
 from folioforge.session import table
 
 
+#: Tokens that consecutive pieces share, and the limit of a section.
+OVERLAP, SECTION_LIMIT = 16, 512
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "document_chunk").select(F.lit("chunk").alias("item_kind"), F.col("chunk_uid").alias("item_id"), F.lit(0).alias("section_pos"), F.col("content").alias("text"), F.col("max_chunk_size").alias("size_limit"))
+    sections = table(spark, d, "ingest_document").select(F.lit("section").alias("item_kind"), F.col("delivery_id").alias("item_id"), F.posexplode("sections.text").alias("section_pos", "text"), F.lit(SECTION_LIMIT).alias("size_limit"))
+    return splitting.split(chunks.unionByName(sections), ["item_kind", "item_id", "section_pos"], "text", "size_limit", OVERLAP)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).where("piece_index = 1").select("item_kind", "item_id", "section_pos")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by their content, deliveries by the texts of their sections."""
     chunks = table(spark, d, "document_chunk").select(F.lit("chunk").alias("kind"), F.col("chunk_uid").alias("id"), F.lit(None).cast("string").alias("grp"), F.col("content").alias("text"))
