@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.llm import nearcopies, neighbours, packing, splitting, tokens
+from folioforge.llm import markup, nearcopies, neighbours, packing, splitting, tokens
 from folioforge.session import table
 
 
@@ -42,6 +42,16 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _alike(spark, d).groups().withColumnRenamed("kind", "item_kind")
 
 
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "parsed_html").select(F.lit("page").alias("item_kind"), F.col("page_id").alias("item_id"), F.lit(0).alias("section_pos"), F.col("cleaned_text").alias("text")).dropDuplicates(["item_id"])
+    sections = table(spark, d, "ingest_document").select("delivery_id", "sections.text").dropDuplicates(["delivery_id"]).select(F.lit("section").alias("item_kind"), F.col("delivery_id").alias("item_id"), F.posexplode("text").alias("section_pos", "text"))
+    return markup.cleaned(pages.unionByName(sections), ["item_kind", "item_id", "section_pos"], "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_clean(spark, d).where("markup_blocks > 0").select("item_kind", "item_id", "section_pos")
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "document_chunk"), "chunk_uid", "content_vector")
 
