@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.llm import markup, nearcopies, neighbours, packing, splitting, tokens
+from folioforge.llm import markup, nearcopies, neighbours, packing, ranking, splitting, tokens
 from folioforge.session import table
 
 
@@ -60,6 +60,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.alike(p4_neighbours(spark, d), 0.96)
 
 
+def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.ranked(ranking.rank_walk(table(spark, d, "search_hit"))).select(F.col("q").alias("qid"), F.col("item").alias("chunk_uid"), "rank", F.round("stationarity", 6).alias("stationarity"), F.round("standing", 6).alias("standing"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.best_by_standing(ranking.rank_walk(table(spark, d, "search_hit")), 3).select(F.col("q").alias("qid"), F.col("item").alias("chunk_uid"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -73,4 +81,26 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": r"""
+WITH items AS (
+  SELECT 'chunk' AS item_kind, chunk_uid AS item_id, 0 AS section_pos, content AS text, max_chunk_size AS size_limit FROM document_chunk
+  UNION ALL
+  SELECT 'section', delivery_id, CAST(pos - 1 AS INTEGER), sections[pos].text, 512
+  FROM (SELECT delivery_id, sections, unnest(range(1, len(sections) + 1)) AS pos FROM ingest_document))
+SELECT DISTINCT item_kind, item_id, section_pos FROM items
+WHERE len(regexp_extract_all(text, '[^ \t\r\n\x{00A0}]{1,8}')) > greatest(size_limit, 1)
+""",
+        "p6_found": """
+WITH one AS (
+  SELECT qid, chunk_uid, score_kind, arg_max(score, returned_at) FILTER (WHERE score IS NOT NULL AND NOT isnan(score)) AS score
+  FROM search_hit WHERE qid IS NOT NULL AND chunk_uid IS NOT NULL GROUP BY ALL),
+standings AS (
+  SELECT qid, chunk_uid, cume_dist() OVER (PARTITION BY qid, score_kind ORDER BY score) AS standing FROM one WHERE score IS NOT NULL),
+sums AS (
+  SELECT i.qid, i.chunk_uid, coalesce(sum(s.standing), 0) AS standing
+  FROM (SELECT DISTINCT qid, chunk_uid FROM one) i LEFT JOIN standings s USING (qid, chunk_uid) GROUP BY ALL)
+SELECT qid, chunk_uid FROM sums
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(standing, 9) DESC, chunk_uid) <= 3
+""",
+    }
