@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.llm import markup, nearcopies, neighbours, packing, ranking, splitting, tokens
+from folioforge.llm import markup, nearcopies, neighbours, packing, ranking, splitting, subjects, tokens
 from folioforge.session import table
 
 
@@ -76,6 +76,21 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", 2048)
 
 
+def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents, names = table(spark, d, "documents"), subjects.subjects_of(table(spark, d, "subject_area"))
+    model = subjects.train(subjects.labelled_documents(documents, table(spark, d, "subject_label"), names), names)
+    return subjects.score(documents, model)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject."""
+    return p9_subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
