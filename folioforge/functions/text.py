@@ -50,7 +50,7 @@ def blank_whitespace(c: Column) -> Column:
 
 
 def escape_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<!\\)\n", r"\\\\n")
+    return F.regexp_replace(c, r"(?<!\\)\n", r"\\n")
 
 
 def words(c: Column) -> Column:

@@ -71,6 +71,7 @@ class CitationStream:
     _done: str = ""
     _raw: str = ""
     _after_link: bool = False
+    _last: str = ""
     _stopped: bool = False
 
     # the longest tail that may begin a citation, a link target after one, or a stop pattern
@@ -142,9 +143,11 @@ class CitationStream:
                 follow = text[m.end() : m.end() + 1]
                 if before.endswith(" ") and (not follow or follow in " .,;:!?)"):
                     before = before[:-1]
-            elif shown and before and not before[-1].isspace() and not before.endswith(")"):
+            elif shown and (end := before[-1:] or self._last) and not end.isspace() and end != "\0":
                 before += " "
             out += [before, shown]
+            # right after a citation no blank is added
+            self._last = "\0" if shown else before[-1:] or self._last
             at = m.end()
             if self.mode is Mode.HYPERLINK:
                 target = re.match(r"\(\S*?\)", text[at:])
@@ -160,6 +163,7 @@ class CitationStream:
             self._held = rest[hold.start() :] + self._held
             rest = rest[: hold.start()]
         self._raw += rest
+        self._last = rest[-1:] or self._last
         out.append(rest)
         return "".join(out), new
 

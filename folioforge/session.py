@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -53,6 +55,17 @@ def local_path(path: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Results are read lazily, so that what `cut` wrote is removed when the driver's process ends."""
+    for p in _written:
+        if (plain := local_path(p)) and os.path.isdir(plain):
+            shutil.rmtree(plain, ignore_errors=True)
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cuts the lineage through a compressed table in the shared folder.
 
@@ -61,10 +74,22 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     out = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(out)
     df.write.option("compression", "zstd").parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
+def cut_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
+    """As `cut`, as a table in buckets by a key, so that later joins and aggregations on it shuffle only the other side."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = f"{shared_dir(spark).rstrip('/')}/{name}"
+    _written.append(out)
+    df.repartition(n, key).write.option("compression", "zstd").option("path", out).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def shared_file(spark: SparkSession, label: str, suffix: str = "") -> str | None:
     """A new file name on the shared folder if it is mounted on every host, else None."""
     base = local_path(shared_dir(spark))
