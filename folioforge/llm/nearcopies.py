@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from folioforge.session import cut
+from folioforge.session import cut, cut_by
 
 SKETCHES, SHARED = 48, 2
 FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 64
@@ -258,7 +258,7 @@ class NearCopies:
     def __init__(self, df: DataFrame, k: int = 5, least: float = 0.8, min_words: int = 5, sketch_number: int = SKETCHES) -> None:
         t = cut(word_table(df, max(min_words, k + 1)), "words")
         self.members = cut(t.select("kind", "id", "grp", "text_key").dropDuplicates(["kind", "id"]), "members")
-        classes = cut(t.groupBy("text_key").agg(F.first("words").alias("words")), "classes")
+        classes = cut_by(t.select("text_key", "words").dropDuplicates(["text_key"]), "text_key", "classes")
         total = classes.count()
         sk = sketches(classes, frequent(classes, total, k), k, sketch_number)
         a, b = sk.withColumnRenamed("text_key", "key_a"), sk.withColumnRenamed("text_key", "key_b")
