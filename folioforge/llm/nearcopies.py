@@ -85,7 +85,7 @@ def word_table(df: DataFrame, min_words: int) -> DataFrame:
                 v = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)).tobytes()
                 rows.append(i)
                 data.append(v)
-                keys.append(xxhash.xxh3_64_intdigest(v + kinds[i].encode()) - 2**63)
+                keys.append(xxhash.xxh3_64_intdigest(v + (kinds[i] or "").encode()) - 2**63)
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows, pa.int64())) for c in range(3)), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["kind", "id", "grp", "text_key", "words"])
 
     return df.select("kind", F.col("id").cast("long").alias("id"), F.col("grp").cast("string").alias("grp"), "text").where("id is not null").mapInArrow(run, "kind string, id long, grp string, text_key long, words binary")
@@ -176,9 +176,12 @@ def sketches(classes: DataFrame, weights: tuple[np.ndarray, np.ndarray], k: int,
                         two = _firsts(key, starts, doc)
                         out[:, s] = _mix(label[np.minimum(one, two)] * _A + label[np.maximum(one, two)] * _B + np.uint64(s))
                 keys = b.column(0).to_numpy()[keep]
+                of_kind = {x: xxhash.xxh64_intdigest(x or "") for x in b.column(2).unique().to_pylist()}
+                # texts of different kinds never meet
+                out ^= np.array([of_kind[x] for x in b.column(2).to_pylist()], np.uint64)[keep][:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(out.ravel().astype(np.int64), pa.int64()), pa.array(np.repeat(keys, number), pa.int64())], ["bucket", "text_key"])
 
-    return classes.select("text_key", "words").mapInArrow(run, "bucket long, text_key long")
+    return classes.select("text_key", "words", "kind").mapInArrow(run, "bucket long, text_key long")
 
 
 def _banded(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> int:
@@ -258,13 +261,13 @@ class NearCopies:
     def __init__(self, df: DataFrame, k: int = 5, least: float = 0.8, min_words: int = 5, sketch_number: int = SKETCHES) -> None:
         t = cut(word_table(df, max(min_words, k + 1)), "words")
         self.members = cut(t.select("kind", "id", "grp", "text_key").dropDuplicates(["kind", "id"]), "members")
-        classes = cut_by(t.select("text_key", "words").dropDuplicates(["text_key"]), "text_key", "classes")
+        classes = cut_by(t.select("text_key", "words", "kind").dropDuplicates(["text_key"]), "text_key", "classes")
         total = classes.count()
         sk = sketches(classes, frequent(classes, total, k), k, sketch_number)
         a, b = sk.withColumnRenamed("text_key", "key_a"), sk.withColumnRenamed("text_key", "key_b")
         candidates = cut(a.join(b, "bucket").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key_a", "key_b"), "candidates")
         wanted = candidates.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
-        held = cut(classes.join(wanted, "text_key", "left_semi"), "wanted")
+        held = cut(classes.select("text_key", "words").join(wanted, "text_key", "left_semi"), "wanted")
         texts = candidates.join(held.withColumnsRenamed({"text_key": "key_a", "words": "words_a"}), "key_a").join(held.withColumnsRenamed({"text_key": "key_b", "words": "words_b"}), "key_b")
         self.links = cut(verify(texts, k, least), "links")
 
