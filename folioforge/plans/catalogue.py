@@ -138,7 +138,7 @@ def chunk_primary_key(spark, d):
     return chunks(spark, d).select("chunk_uid", D.chunk_key(F.col("document_id"), F.col("max_chunk_size"), F.col("chunk_index")).alias("key"))
 
 
-@query(rf"""WITH {C} SELECT chunk_uid, md5(CASE WHEN metadata_list IS NULL OR len(metadata_list) = 0 THEN t ELSE regexp_replace(t, '[\n\r]+$', '') END) AS cleaned
+@query(rf"""WITH {C} SELECT chunk_uid, md5(CASE WHEN metadata_list IS NULL OR len(metadata_list) = 0 THEN t WHEN t = '' AND title <> '' THEN array_to_string(metadata_list, ' ') ELSE regexp_replace(t, '[\n\r]+$', '') END) AS cleaned
 FROM (SELECT *, CASE WHEN coalesce(title, '') = '' THEN coalesce(content, '') ELSE regexp_replace(coalesce(content, ''), '^[ \t\n\r\x{{B}}\x{{C}}]+', '') END AS t FROM c)""")
 def enrich_clean_roundtrip(spark, d):
     c = chunks(spark, d).withColumn("suffix", F.when(F.size(F.coalesce("metadata_list", F.array().cast("array<string>"))) > 0, F.concat(F.lit("\n\r\n"), F.array_join("metadata_list", " "))).otherwise(""))
@@ -326,12 +326,12 @@ def combine_results(spark, d):
 
 def _variants(spark, d) -> DataFrame:
     w = F.split("query_text", " ")
-    return table(spark, d, "search_query").select("qid", F.col("query_text").alias("text"), F.lower("query_text").alias("rephrase"), F.array(w[0], F.upper(w[0]), w[1]).alias("keywords"), F.array(F.upper("query_text")).alias("model"))
+    return table(spark, d, "search_query").select("qid", F.col("query_text").alias("text"), F.lower("query_text").alias("rephrase"), F.array(w[0], F.replace(w[0], F.lit("e"), F.lit("E")), w[1]).alias("keywords"), F.array(F.replace("query_text", F.lit("e"), F.lit("E"))).alias("model"))
 
 
 _VAR = """s AS (SELECT qid, query_text AS t, string_split(query_text, ' ') AS w FROM search_query), v AS (
-SELECT qid, 0 AS pos, 'semantic' AS kind, lower(t) AS text, 1.3::DOUBLE AS weight FROM s UNION ALL SELECT qid, 1, 'semantic', upper(t), 0.7 FROM s UNION ALL SELECT qid, 2, 'semantic', t, 0.5 FROM s
-UNION ALL SELECT qid, 3, 'keyword', w[1], 1.0 FROM s UNION ALL SELECT qid, 4, 'keyword', upper(w[1]), 1.0 FROM s UNION ALL SELECT qid, 5, 'keyword', w[2], 1.0 FROM s)"""
+SELECT qid, 0 AS pos, 'semantic' AS kind, lower(t) AS text, 1.3::DOUBLE AS weight FROM s UNION ALL SELECT qid, 1, 'semantic', replace(t, 'e', 'E'), 0.7 FROM s UNION ALL SELECT qid, 2, 'semantic', t, 0.5 FROM s
+UNION ALL SELECT qid, 3, 'keyword', w[1], 1.0 FROM s UNION ALL SELECT qid, 4, 'keyword', replace(w[1], 'e', 'E'), 1.0 FROM s UNION ALL SELECT qid, 5, 'keyword', w[2], 1.0 FROM s)"""
 
 
 @query(f"""WITH {_VAR}, f AS (SELECT qid, kind, arg_min(text, pos) AS text, sum(weight) AS weight, min(pos) AS pos FROM v GROUP BY qid, kind, lower(text))
