@@ -18,6 +18,7 @@ without any usable label no document gets a subject.
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
 
@@ -77,20 +78,37 @@ class Sentences:
         self.word, self.sentence, self.doc = np.array(word, np.int64), np.array(sentence, np.int64), np.array(doc, np.int64)
 
 
-def _sum_by(values: np.ndarray, order: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by group; order sorts the rows by group."""
-    out = np.zeros((n, values.shape[1]), np.float64)
-    if len(order):
-        g = groups[order]
-        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        out[g[at]] = np.add.reduceat(values[order], at, axis=0)
+def _heads(groups: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+
+
+def _sums(values: np.ndarray, heads: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows, which lie sorted by group; heads are the begins of the runs."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(heads):
+        out[groups[heads]] = np.add.reduceat(values, heads, axis=0)
     return out
 
 
 class Part:
-    """What a partition needs for its gradient."""
+    """What a partition needs for its gradient: arrays that are prepared once and read in every round."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.__dict__.update(arrays)
+        self.n = len(self.length)
+
+    def dump(self) -> bytes:
+        np.savez(out := io.BytesIO(), **{k: v for k, v in self.__dict__.items() if k != "n"})
+        return out.getvalue()
 
-    def __init__(self, texts: list[str], labels: np.ndarray, vocabulary: np.ndarray) -> None:
+    @classmethod
+    def load(cls, data: bytes) -> "Part":
+        with np.load(io.BytesIO(data)) as z:
+            return cls({k: z[k] for k in z.files})
+
+    @classmethod
+    def of_texts(cls, texts: list[str], labels: np.ndarray, vocabulary: np.ndarray) -> "Part":
         s = Sentences(texts)
         feature, of = [], []
         for i, w in enumerate(s.words):
@@ -99,24 +117,27 @@ class Part:
             at = at[vocabulary[at] == f]
             feature.append(at)
             of.append(np.full(len(at), i))
-        self.feature, self.of = np.concatenate(feature or [np.zeros(0, np.int64)]), np.concatenate(of or [np.zeros(0, np.int64)]).astype(np.int64)
-        self.per = np.bincount(self.of, minlength=len(s.words)).astype(float)
-        known = self.per[s.word] > 0
-        self.word, self.sentence = s.word[known], s.sentence[known]
-        self.n = len(s.doc)
-        self.length = np.maximum(1.0, np.bincount(self.sentence, minlength=self.n))
-        self.labels = labels[s.doc] if len(s.doc) else np.zeros((0, labels.shape[1]))
-        self.several = self.labels.sum(1) > 1
-        self.by_word, self.by_feature = np.argsort(self.word, kind="stable"), np.argsort(self.feature, kind="stable")
-        self.by_of = np.arange(len(self.of))
+        f, of_ = np.concatenate(feature or [np.zeros(0, np.int64)]), np.concatenate(of or [np.zeros(0, np.int64)]).astype(np.int64)
+        per = np.bincount(of_, minlength=len(s.words)).astype(float)
+        known = per[s.word] > 0
+        word, sentence = s.word[known], s.sentence[known]
+        y = labels[s.doc] if len(s.doc) else np.zeros((0, labels.shape[1]))
+        by_word, by_feature = np.argsort(word, kind="stable"), np.argsort(f, kind="stable")
+        return cls({
+            "feature": f, "of": of_, "of_heads": _heads(of_), "per": np.maximum(per, 1).astype(np.float32)[:, None],
+            "word": word, "sentence": sentence, "sentence_heads": _heads(sentence),
+            "sentence_of": sentence[by_word], "word_of": word[by_word], "word_heads": _heads(word[by_word]),
+            "of_of": of_[by_feature], "feature_of": f[by_feature], "feature_heads": _heads(f[by_feature]),
+            "labels": y.astype(np.float32), "several": y.sum(1) > 1,
+            "length": np.maximum(1.0, np.bincount(sentence, minlength=len(s.doc))).astype(np.float32),
+        })
 
     def gradient(self, e: np.ndarray, w: np.ndarray, b: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        per = np.maximum(self.per, 1)[:, None]
-        words = _sum_by(e[self.feature], self.by_of, self.of, len(self.per)) / per
-        sent = _sum_by(words[self.word], np.arange(len(self.word)), self.sentence, self.n) / self.length[:, None]
+        words = _sums(e[self.feature], self.of_heads, self.of, len(self.per)) / self.per
+        sent = _sums(words[self.word], self.sentence_heads, self.sentence, self.n) / self.length[:, None]
         p = 1 / (1 + np.exp(-np.clip(sent @ w + b, -30, 30)))
-        y = self.labels.astype(float)
-        use = np.ones(self.n)
+        y = self.labels
+        use = np.ones(self.n, np.float32)
         if alone:
             use[self.several] = 0
         else:
@@ -127,11 +148,8 @@ class Part:
             y = np.where(self.several[:, None], sure, y)
         g = (p - y) * use[:, None]
         gs = (g @ w.T) / self.length[:, None]
-        gw = _sum_by(gs[self.sentence], self.by_word, self.word, len(self.per)) / per
-        return _sum_by(gw[self.of], self.by_feature, self.feature, len(e)), sent.T @ g, g.sum(0), int(use.sum())
-
-
-_parts: dict[tuple, Part] = {}
+        gw = _sums(gs[self.sentence_of], self.word_heads, self.word_of, len(self.per)) / self.per
+        return _sums(gw[self.of_of], self.feature_heads, self.feature_of, len(e)), sent.T @ g, g.sum(0), int(use.sum())
 
 
 def _vocabulary(sample: DataFrame, least: int, most: int) -> np.ndarray:
@@ -172,32 +190,32 @@ def train(labelled: DataFrame, subjects: list[str], sample: int = SAMPLE, rounds
     params = [rng.normal(0, 0.3, (len(vocabulary), DIM)), rng.normal(0, 0.3, (DIM, n)), np.full(n, -2.0)]
     moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     held = spark.sparkContext.broadcast(vocabulary)
-    run_id = held.id if hasattr(held, "id") else id(held)
-    name = (spark.sparkContext.applicationId, run_id, int(vocabulary.sum() & 0x7FFFFFFF))
     size = len(vocabulary) * DIM
 
+    def prepare(t: pa.Table) -> pa.Table:
+        labels = np.zeros((t.num_rows, n))
+        for i, x in enumerate(t.column("labels").to_pylist()):
+            labels[i, x] = 1
+        return pa.table({"part": t.column("part").slice(0, 1), "data": pa.array([Part.of_texts(t.column("text").to_pylist(), labels, held.value).dump()], pa.binary())})
+
+    # a file for each part, so that each is a task of its own
+    parts = cut(chosen.groupBy("part").applyInArrow(prepare, "part int, data binary").repartitionByRange(PARTS, "part"), "parts")
+
     def gradient_of(sent, alone: bool):
-        def gradient(t: pa.Table) -> pa.Table:
-            part = t.column("part")[0].as_py()
-            key = (*name, part)
-            if key not in _parts:
-                if len(_parts) > 2 * PARTS:
-                    _parts.clear()
-                labels = np.zeros((t.num_rows, n))
-                for i, x in enumerate(t.column("labels").to_pylist()):
-                    labels[i, x] = 1
-                _parts[key] = Part(t.column("text").to_pylist(), labels, held.value)
-            e, w, b = (p.astype(float) for p in sent.value)
-            ge, gw, gb, used = _parts[key].gradient(e, w, b, alone)
-            flat = np.concatenate([ge.ravel(), gw.ravel(), gb, [used]]).astype(np.float32)
-            return pa.table({"g": pa.array([flat.tobytes()], pa.binary())})
+        def gradient(batches):
+            e, w, b = sent.value
+            for batch in batches:
+                for data in batch.column(1).to_pylist():
+                    ge, gw, gb, used = Part.load(data).gradient(e, w, b, alone)
+                    flat = np.concatenate([ge.ravel(), gw.ravel(), gb, [used]]).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["g"])
 
         return gradient
 
     for step in range(1, rounds + 1):
         sent = spark.sparkContext.broadcast([p.astype(np.float32) for p in params])
         # one row for each part, of the model's size
-        rows = chosen.groupBy("part").applyInArrow(gradient_of(sent, step <= ALONE), "g binary").collect()
+        rows = parts.mapInArrow(gradient_of(sent, step <= ALONE), "g binary").collect()
         total = np.sum([np.frombuffer(r.g, np.float32).astype(float) for r in rows], axis=0)
         used = max(total[-1], 1.0)
         grads = [total[:size].reshape(-1, DIM), total[size : size + DIM * n].reshape(DIM, n), total[size + DIM * n : -1]]
@@ -219,6 +237,28 @@ def labelled_documents(documents: DataFrame, labels: DataFrame, subjects: list[s
     return documents.select("doc_id", "text").join(one, "doc_id")
 
 
+class _Places(dict):
+    """Words to rows of a table of contributions; sentence ends are -1. New words get theirs when first asked for."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+        self.table = np.full((1 << 12, len(model.b)), np.nan, np.float32)
+        self.used = 0
+
+    def __missing__(self, x: str) -> int:
+        if _ends(x):
+            self[x] = -1
+            return -1
+        i = self.used
+        if i >= len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, np.nan)])
+        self.table[i] = self.model.of_word(x)
+        self.used += 1
+        self[x] = i
+        return i
+
+
 def score(documents: DataFrame, model: Model, share: float = SHARE) -> DataFrame:
     """(doc_id, subject, share): the share of the document's sentences that deal with the subject, at least ``share``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -226,31 +266,18 @@ def score(documents: DataFrame, model: Model, share: float = SHARE) -> DataFrame
     def run(batches):
         m = shared.value
         n = len(m.b)
-        index: dict[str, int] = {}
-        table = np.full((1 << 12, n), np.nan, np.float32)
-
-        def place(x: str) -> int:
-            nonlocal table
-            if _ends(x):
-                index[x] = -1
-                return -1
-            i = len(index)
-            if i >= len(table):
-                table = np.concatenate([table, np.full_like(table, np.nan)])
-            table[i] = m.of_word(x)
-            index[x] = i
-            return i
+        index = _Places(m)
 
         for whole in batches:
             for a in range(0, whole.num_rows, _CHUNK):
                 b = whole.slice(a, _CHUNK)
                 if len(index) > 500_000:
-                    index.clear()
+                    index = _Places(m)
                 word, sizes = [], []
                 for t in b.column(1).to_pylist():
                     x = tokens_of(t) if t else []
                     x.append("\n")
-                    word.extend([index[w] if w in index else place(w) for w in x])
+                    word.extend(map(index.__getitem__, x))
                     sizes.append(len(x))
                 at = np.array(word, np.int64)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -260,7 +287,7 @@ def score(documents: DataFrame, model: Model, share: float = SHARE) -> DataFrame
                 sentence = np.cumsum(begin) - 1
                 count = int(begin.sum())
                 of = doc[begin]
-                values = table[at[is_word]]
+                values = index.table[at[is_word]]
                 known = ~np.isnan(values[:, 0])
                 s = sentence[is_word][known]
                 out = np.zeros((count, n), np.float32)
