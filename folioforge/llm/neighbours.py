@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioforge.session import cut
 
-PIVOTS, PREFIX, POST, RERANK = 512, 16, 8, 3072
+PIVOTS, PREFIX, POST, RERANK = 512, 16, 10, 4096
 #: Vectors up to which the number of pivots stays; beyond, it grows as the root, so that files do too.
 PIVOTS_FOR = 200_000
 QUERY_BLOCK, POST_BLOCK = 4096, 16384
@@ -107,7 +107,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, pi
     classes = cut(salted.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("u"))), 1, k + 1).alias("members"), F.sum("n").alias("n")).withColumn("uid", F.col("members")[0]), "classes")
     held = classes.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
     n, copies = held.n, (held.most or 1) > 1
-    number = max(1, min(n, max(16, min(n // 16, pivots if n <= PIVOTS_FOR else int(pivots * math.sqrt(n / PIVOTS_FOR))))))
+    number = max(1, min(n, max(16, min(n // 64, pivots if n <= PIVOTS_FOR else int(pivots * math.sqrt(n / PIVOTS_FOR))))))
     prefix = min(prefix, number)
     post = min(post, prefix)
     sample = classes.select("code", F.xxhash64("uid").alias("h"), "uid").orderBy("h", "uid").limit(number).select("code").toArrow()
