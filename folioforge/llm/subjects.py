@@ -37,13 +37,15 @@ ALONE = 14
 SHARE = 0.25
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s|$)|[。！？۔]|\n")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_BROKEN = re.compile("[\u00c2\u00c3][\u0080-\u00bf]")
 _CHUNK = 256
 
 
 def tokens_of(text: str) -> list[str]:
-    """Words in lower case; sentence ends as they are."""
+    """Words in lower case; sentence ends as they are. Invisible characters go, accents broken by a wrong decoding are mended."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = _BROKEN.sub(lambda m: m[0].encode("latin-1").decode("utf-8"), _INVISIBLE.sub("", unicodedata.normalize("NFC", text)))
     return _TOKEN.findall(text.lower())
 
 
