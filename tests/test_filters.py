@@ -47,3 +47,17 @@ def test_time_ranges():
 def test_exclusive_filters():
     with pytest.raises(ValueError):
         Filters(document_id="a", document_ids=["b"])
+
+
+def test_evaluation_of_small_lists(spark):
+    from folioforge.operators import evaluation
+
+    t = spark.createDataFrame([(float(i),) for i in (5, 1, 2, 3, 4, 6, 7, 8, 9, 10)], "s double")
+    assert tuple(evaluation.latency(t, "s").first()) == (6.0, 9.0)
+    assert tuple(evaluation.latency(t.limit(0), "s").first()) == (None, None)
+    ranked = spark.createDataFrame([("q", "a", 1), ("q", "a", 2), ("q", "b", 3)], "qid string, document_id string, rank int")
+    qrels = spark.createDataFrame([("q", "b", 1), ("q", "c", 0), ("r", "a", 0)], "qid string, document_id string, relevance int")
+    assert {r.qid: round(r.ndcg, 4) for r in evaluation.ndcg(ranked, qrels).collect()} == {"q": 0.5, "r": 0.0}
+    assert {r.qid: round(r.ndcg, 4) for r in evaluation.ndcg(ranked, qrels, once=True).collect()} == {"q": 0.6309, "r": 0.0}
+    assert {r.qid: r.recall for r in evaluation.recall(ranked, qrels, 2).collect()} == {"q": 0.0, "r": 0.0}
+    assert {r.qid: round(r.mrr, 3) for r in evaluation.mrr(ranked, qrels).collect()} == {"q": 0.333, "r": 0.0}
