@@ -37,8 +37,10 @@ SPLIT = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lamb
 SP = T.SPACE
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "document_chunk").dropDuplicates(["chunk_uid"])
+def chunks(spark: SparkSession, d: str, f: Filters | None = None) -> DataFrame:
+    """The index rows; a filter comes before rows are made unique, so that it reaches the scan."""
+    rows = table(spark, d, "document_chunk")
+    return (rows if f is None else rows.where(filters.predicate(f))).dropDuplicates(["chunk_uid"])
 
 
 def deliveries(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +160,7 @@ def access_entries(spark, d):
 
 
 def _filtered(f: Filters):
-    return lambda spark, d: chunks(spark, d).where(filters.predicate(f)).select("chunk_uid")
+    return lambda spark, d: chunks(spark, d, f).select("chunk_uid")
 
 
 def _filter(name: str, f: Filters, where: str) -> None:
@@ -185,7 +187,7 @@ e AS (SELECT chunk_uid, unnest(access_control_list) AS entry FROM c WHERE NOT co
 SELECT viewer, count(DISTINCT chunk_uid) AS n_private FROM v LEFT JOIN e ON entry = 'user_email:' || viewer GROUP BY 1""")
 def acl_visibility(spark, d):
     v = table(spark, d, "search_query").where("viewer_email is not null").select(F.col("viewer_email").alias("viewer")).distinct()
-    seen = filters.visible_to_viewers(chunks(spark, d).where(filters.predicate(Filters())), "chunk_uid", v.withColumn("entry", F.concat(F.lit("user_email:"), "viewer")))
+    seen = filters.visible_to_viewers(chunks(spark, d, Filters()), "chunk_uid", v.withColumn("entry", F.concat(F.lit("user_email:"), "viewer")))
     return v.join(seen.groupBy("viewer").agg(F.count("*").alias("n")), "viewer", "left").select("viewer", F.coalesce("n", F.lit(0)).alias("n_private"))
 
 
@@ -220,7 +222,7 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {C}, {_bm25_cte('b', 'content', _H + ' AND coalesce(public, false)')} SELECT qid, chunk_uid, round(score, 6) AS score FROM b {_TOP.format(10)}")
 def bm25_filtered(spark, d):
-    rows = chunks(spark, d).where(filters.predicate(Filters(access=[])))
+    rows = chunks(spark, d, Filters(access=[]))
     return _shown(lexical.top(lexical.bm25(rows, "chunk_uid", "content", table(spark, d, "search_query")), "chunk_uid", 10))
 
 
@@ -260,7 +262,7 @@ def knn_topk(spark, d):
 
 @query(_knn_sql(f"{_H} AND coalesce(public, false)"))
 def knn_prefiltered(spark, d):
-    return _shown(vectors.knn(chunks(spark, d).where(filters.predicate(Filters(access=[]))), "chunk_uid", "content_vector", table(spark, d, "search_query"), 10))
+    return _shown(vectors.knn(chunks(spark, d, Filters(access=[])), "chunk_uid", "content_vector", table(spark, d, "search_query"), 10))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")
