@@ -269,11 +269,18 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
 def build_lexicon(texts: DataFrame, column: str, vocabulary: str, lexicon_size: int = LEXICON_SIZE, min_count: int = MIN_COUNT) -> str:
     """The file of the transducer over the corpus's frequent words.
 
-    What reaches the driver is bounded by ``lexicon_size`` words.
+    What reaches the driver is bounded by ``lexicon_size`` words: those of the largest counts, of each count all or none.
     """
     spark = texts.sparkSession
-    top = word_counts(texts, column).where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(lexicon_size)
-    words = [bytes(r.word) for r in top.select("word").collect()]
+    counted = cut(word_counts(texts, column).where(F.col("n") >= min_count), "words")
+    # the least count of which all words fit; a row for each distinct count, and those are few as they add up to the corpus
+    least, held = None, 0
+    for n, words_of_it in counted.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
+        held += words_of_it
+        if held > lexicon_size:
+            break
+        least = n
+    words = sorted(bytes(r.word) for r in counted.where(F.col("n") >= least).select("word").collect()) if least else []
     import tiktoken
 
     exact = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(vocabulary), special_tokens={})
