@@ -31,9 +31,9 @@ from folioforge.session import cut
 
 #: Labelled documents at most, features at most, and documents of the sample a feature must be in.
 SAMPLE, FEATURES, LEAST_DOCS = 4000, 60_000, 3
-DIM, ROUNDS, STEP, PARTS = 16, 36, 0.12, 4
+DIM, ROUNDS, STEP, PARTS = 16, 24, 0.12, 4
 #: Rounds after which documents with several labels take part.
-ALONE = 14
+ALONE = 10
 SHARE = 0.25
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s|$)|[。！？۔]|\n")
@@ -183,7 +183,12 @@ def train(labelled: DataFrame, subjects: list[str], sample: int = SAMPLE, rounds
     """labelled: doc_id, text, labels ARRAY<INT>. The sample is the first ``sample`` documents in the order of a hash."""
     spark = labelled.sparkSession
     n = len(subjects)
-    chosen = labelled.where("text is not null").select("text", "labels", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(sample)
+    rows = labelled.where("text is not null").select("text", "labels", F.xxhash64("doc_id").alias("h"))
+    total = rows.count()
+    if total > 2 * sample:
+        # leaves somewhat more than the sample, so that few texts are sorted
+        rows = rows.where(F.col("h") < F.lit(int((1.5 * sample / total) * 2.0**64 - 2.0**63)))
+    chosen = rows.orderBy("h", "text").limit(sample)
     chosen = cut(chosen.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int")), "sample")
     vocabulary = _vocabulary(chosen, least_docs, FEATURES)
     rng = np.random.default_rng(7)
