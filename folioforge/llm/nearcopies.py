@@ -1,18 +1,14 @@
 """Groups of texts that repeat one another apart from small edits, insertions or changed order.
 
 1. Words become 64-bit values once; texts with the same words are one class from there on.
-2. The weight of a k-mer of words falls with the square of the number of classes it
-   occurs in, above ``FREQUENT`` of them: stock phrases would else fill the sketches.
+2. The k-mers of every class are put in one order, the frequent ones last by their frequency.
    Frequent k-mers are found without shuffling all: what is frequent overall is so in some task.
-3. Order MinHash: k-mers are labelled with their occurrence, each sketch takes the two smallest
-   under its own weighted hash and keeps them in text order. Classes with ``SHARED`` equal sketches are candidates;
-   measured, texts with a similarity of 0.6 or more share 25 of 48 on average, and 1 in 2,000 of them shares fewer than two.
+3. Prefix filter: of two texts with a Jaccard of ``least``, the first k-mers of the longer, all but ``least`` of them, and those
+   of the shorter, all but 2 least / (1 + least) of them, share one. So all classes that share one are candidates, if sizes
+   and places leave enough to share, and no link is lost. K-mers of many classes are joined in salted blocks.
 4. A candidate pair is verified by the exact Jaccard of its distinct k-mers, and by banded
    alignments along the diagonals its shared k-mers lie on, so that moved passages count.
 
-Groups that hold above ``FREQUENT`` (a thousandth of the texts, 64 at least) texts that all differ
-lose recall, as their common k-mers weigh less than their edits; copies don't count there.
-
 Defined cases: null texts and texts of under ``min_words`` words are alike to none; ids stored twice
 count once; an empty table gives no rows.
 """
@@ -28,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioforge.session import cut, cut_by
 
-SKETCHES, SHARED = 48, 2
+#: Classes of one block of a k-mer that many hold.
+BLOCK = 2_000
 FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 64
 #: Frequent k-mers kept at most, the most frequent first (16 bytes each).
 FREQUENT_MOST = 1_000_000
@@ -122,66 +119,64 @@ def frequent(classes: DataFrame, total: int, k: int) -> tuple[np.ndarray, np.nda
     t = classes.select("words").mapInArrow(count, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "v").limit(FREQUENT_MOST).toArrow()
     v, n = t.column("v").to_numpy().astype(np.uint64), t.column("n").to_numpy().astype(np.float64)
     o = np.argsort(v)
-    return v[o], (n[o] / least) ** 2
-
+    return v[o], n[o]
 
-def _firsts(key: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The place of the smallest key of each text."""
-    at = np.flatnonzero(key == np.minimum.reduceat(key, starts)[doc])
-    if len(at) != len(starts):
-        at = at[np.unique(doc[at], return_index=True)[1]]
-    return at
 
+def prefixes(classes: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, least: float) -> DataFrame:
+    """(value, text_key, size, place, indexed, blocks): the first k-mers of every class in the order of all k-mers, frequent ones last.
 
-def sketches(classes: DataFrame, weights: tuple[np.ndarray, np.ndarray], k: int, number: int = SKETCHES) -> DataFrame:
-    """(bucket, text_key): the ordered pairs of smallest k-mers of every class."""
-    shared = classes.sparkSession.sparkContext.broadcast(weights)
-    seeds = _mix(np.arange(1, number + 1, dtype=np.uint64) * _B) | np.uint64(1)
+    size: the number of distinct k-mers; indexed: whether the k-mer is among the first of a text that is the shorter of a pair.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        value, heavy = shared.value
+        value, number = shared.value
         for whole in batches:
             for a in range(0, whole.num_rows, 4000):
                 b = whole.slice(a, 4000)
                 h, n = kmers(*_laid(b, 1), k)
-                keep = np.flatnonzero(n >= 2)
-                if not len(keep):
-                    continue
-                if len(keep) < len(n):
-                    h = h[np.repeat(n >= 2, n)]
-                    n = n[keep]
-                starts = np.cumsum(n) - n
                 doc = np.repeat(np.arange(len(n)), n)
-                factor = np.ones(len(h))
+                held = np.zeros(len(h))
                 if len(value):
                     at = np.minimum(np.searchsorted(value, h), len(value) - 1)
                     hit = value[at] == h
-                    factor[hit] = heavy[at[hit]]
-                # occurrence labels
-                o = np.lexsort((h, doc))
-                again = np.zeros(len(h), np.int64)
-                same = (h[o][1:] == h[o][:-1]) & (doc[o][1:] == doc[o][:-1])
-                run_at = np.flatnonzero(np.concatenate([[True], ~same]))
-                again[o] = np.arange(len(h)) - np.repeat(run_at, np.diff(np.append(run_at, len(h))))
-                with np.errstate(over="ignore"):
-                    label = _mix(h + again.astype(np.uint64) * _B)
-                    out = np.empty((len(n), number), np.uint64)
-                    for s in range(number):
-                        x = label * seeds[s]
-                        x ^= x >> np.uint64(32)
-                        x *= _C
-                        key = (x >> np.uint64(11)).astype(np.float64) * factor
-                        one = _firsts(key, starts, doc)
-                        key[one] = np.inf
-                        two = _firsts(key, starts, doc)
-                        out[:, s] = _mix(label[np.minimum(one, two)] * _A + label[np.maximum(one, two)] * _B + np.uint64(s))
-                keys = b.column(0).to_numpy()[keep]
+                    held[hit] = number[at[hit]]
+                o = np.lexsort((h, held, doc))
+                h, doc, held = h[o], doc[o], held[o]
+                once = np.ones(len(h), bool)
+                once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc, held = h[once], doc[once], held[once]
+                size = np.bincount(doc, minlength=len(n))
+                place = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
+                first = place <= (size - np.ceil(least * size - 1e-9))[doc]
+                indexed = place <= (size - np.ceil(2 * least / (1 + least) * size - 1e-9))[doc]
                 of_kind = {x: xxhash.xxh64_intdigest(x or "") for x in b.column(2).unique().to_pylist()}
                 # texts of different kinds never meet
-                out ^= np.array([of_kind[x] for x in b.column(2).to_pylist()], np.uint64)[keep][:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(out.ravel().astype(np.int64), pa.int64()), pa.array(np.repeat(keys, number), pa.int64())], ["bucket", "text_key"])
+                h = h ^ np.array([of_kind[x] for x in b.column(2).to_pylist()], np.uint64)[doc]
+                keys = b.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[first].astype(np.int64), pa.int64()), pa.array(keys[doc[first]], pa.int64()), pa.array(size[doc[first]], pa.int32()), pa.array(place[first], pa.int32()), pa.array(indexed[first]), pa.array(np.ceil(np.maximum(held[first], 1) / BLOCK), pa.int32())],
+                    ["value", "text_key", "size", "place", "indexed", "blocks"],
+                )
+
+    return classes.select("text_key", "words", "kind").mapInArrow(run, "value long, text_key long, size int, place int, indexed boolean, blocks int")
+
+
+def candidate_pairs(posts: DataFrame, least: float) -> DataFrame:
+    """(key_a, key_b): the pairs of classes that share one of their first k-mers and can share enough of all; posts: as of `prefixes`."""
+
+    def met(posts: DataFrame, on: list[str], other: DataFrame) -> DataFrame:
+        a, b = (d.select(*on, *(F.col(c).alias(c + x) for c in ("text_key", "size", "place", "indexed"))) for d, x in ((posts, "_x"), (other, "_y")))
+        longer = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("text_key_x") > F.col("text_key_y")))
+        # of the k-mers that two texts share, all others follow the first; that one always passes
+        most = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+        enough = most >= least / (1 + least) * (F.col("size_x") + F.col("size_y")) - 1e-6
+        return a.join(b, on).where(longer & F.col("indexed_y") & (F.col("size_y") >= least * F.col("size_x") - 1e-6) & enough).select(F.least("text_key_x", "text_key_y").alias("key_a"), F.greatest("text_key_x", "text_key_y").alias("key_b"))
 
-    return classes.select("text_key", "words", "kind").mapInArrow(run, "bucket long, text_key long")
+    few, many = posts.where("blocks = 1"), posts.where("blocks > 1")
+    salted = many.withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    every = many.where("indexed").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met(few, ["value"], few).unionByName(met(salted, ["value", "block"], every)).distinct()
 
 
 def _banded(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> int:
@@ -258,14 +253,13 @@ class NearCopies:
     members: kind, id, grp, text_key, one row for each id; links: key_a < key_b, similarity, aligned.
     """
 
-    def __init__(self, df: DataFrame, k: int = 5, least: float = 0.8, min_words: int = 5, sketch_number: int = SKETCHES) -> None:
+    def __init__(self, df: DataFrame, k: int = 5, least: float = 0.8, min_words: int = 5) -> None:
         t = cut(word_table(df, max(min_words, k + 1)), "words")
         self.members = cut(t.select("kind", "id", "grp", "text_key").dropDuplicates(["kind", "id"]), "members")
         classes = cut_by(t.select("text_key", "words", "kind").dropDuplicates(["text_key"]), "text_key", "classes")
         total = classes.count()
-        sk = sketches(classes, frequent(classes, total, k), k, sketch_number)
-        a, b = sk.withColumnRenamed("text_key", "key_a"), sk.withColumnRenamed("text_key", "key_b")
-        candidates = cut(a.join(b, "bucket").where("key_a < key_b").groupBy("key_a", "key_b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("key_a", "key_b"), "candidates")
+        posts = cut(prefixes(classes, frequent(classes, total, k), k, least), "prefixes")
+        candidates = cut(candidate_pairs(posts, least), "candidates")
         wanted = candidates.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
         held = cut(classes.select("text_key", "words").join(wanted, "text_key", "left_semi"), "wanted")
         texts = candidates.join(held.withColumnsRenamed({"text_key": "key_a", "words": "words_a"}), "key_a").join(held.withColumnsRenamed({"text_key": "key_b", "words": "words_b"}), "key_b")

@@ -127,6 +127,36 @@ def test_hot_group_of_copies_is_linear(spark):
     assert {r.group_id for r in n.groups().collect()} == {0}
 
 
+@pytest.mark.parametrize("others, size", [(11_880, 120), (600, 300)])
+def test_hot_group_of_differing_texts(spark, others, size):
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = rng.choices(vocab, k=60)
+    texts = []
+    for _ in range(size):
+        w = list(base)
+        for j in rng.sample(range(60), 2):
+            w[j] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    true = {(a, b) for a, b in itertools.combinations(range(size), 2) if similarity(texts[a], texts[b]) >= 0.6}
+    texts += [" ".join(rng.choices(vocab, k=60)) for _ in range(others)]
+    n = nearcopies.NearCopies(spark.createDataFrame([("chunk", i, None, t) for i, t in enumerate(texts)], "kind string, id long, grp string, text string"), 3, 0.6, 40)
+    assert {(r.id_a, r.id_b) for r in n.pairs().collect()} == true
+    groups = {r.id: r for r in n.groups().collect()}
+    assert all(groups[i].n_links == sum(i in p for p in true) for i in range(size)) and {groups[i].group_id for p in true for i in p} == {0}
+
+
+def test_hot_blocks_lose_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "FREQUENT_LEAST", 2)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + [f"e{i}"] + base[i + 1 :]) for i in range(60)]
+    df = spark.createDataFrame([("chunk", i, None, t) for i, t in enumerate(texts)], "kind string, id long, grp string, text string")
+    classes = nearcopies.word_table(df, 40).select("text_key", "words", "kind")
+    posts = nearcopies.prefixes(classes, nearcopies.frequent(classes, 60, 3), 3, 0.6)
+    blocks = posts.withColumn("blocks", (posts.blocks + 6).cast("int"))
+    assert nearcopies.candidate_pairs(blocks, 0.6).count() == nearcopies.candidate_pairs(posts, 0.6).count() == 60 * 59 // 2
+
+
 def test_aligned_follows_moved_passages():
     w = np.arange(100, dtype=np.uint64)
     moved = np.concatenate([w[50:], w[:50]])
