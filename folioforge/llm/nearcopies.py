@@ -6,8 +6,8 @@
 3. Prefix filter: of two texts with a Jaccard of ``least``, the first k-mers of the longer, all but ``least`` of them, and those
    of the shorter, all but 2 least / (1 + least) of them, share one. So all classes that share one are candidates, if sizes
    and places leave enough to share, and no link is lost. K-mers of many classes are joined in salted blocks.
-4. A candidate pair is verified by the exact Jaccard of its distinct k-mers, and by banded
-   alignments along the diagonals its shared k-mers lie on, so that moved passages count.
+4. A candidate pair is decided by the exact Jaccard of its distinct k-mers alone. Banded alignments along the diagonals
+   that shared k-mers lie on tell how much of both texts they cover (`NearCopies.alignments`); they decide nothing.
 
 Defined cases: null texts and texts of under ``min_words`` words are alike to none; ids stored twice
 count once; an empty table gives no rows.
@@ -30,8 +30,6 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 64
 #: Frequent k-mers kept at most, the most frequent first (16 bytes each).
 FREQUENT_MOST = 1_000_000
 BAND = 8
-#: Share of words that the alignments must cover.
-ALIGNED = 0.5
 #: Member pairs of two classes up to which all are written; above, those of the first member of either.
 EXPAND = 10_000
 
@@ -223,34 +221,45 @@ def aligned(a: np.ndarray, b: np.ndarray, ka: np.ndarray, kb: np.ndarray, k: int
     return 2 * covered / (len(a) + len(b))
 
 
-def verify(pairs: DataFrame, k: int, least: float, aligned_least: float = ALIGNED) -> DataFrame:
-    """(key_a, key_b, similarity, aligned) of the pairs that are alike; pairs: key_a, key_b, words_a, words_b."""
+def verify(pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """(key_a, key_b, similarity) of the pairs that are alike; pairs: key_a, key_b, words_a, words_b."""
 
     def run(batches):
         for b in batches:
-            rows, sim, cover = [], [], []
-            for r, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                kx, ky = (kmers(t, np.array([0]), np.array([len(t)]), k)[0] for t in (x, y))
-                ux, uy = np.unique(kx), np.unique(ky)
+            rows, sim, known = [], [], {}
+            for r, (p, q, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+                for key, t in ((p, x), (q, y)):
+                    if key not in known:
+                        known[key] = np.unique(kmers(np.frombuffer(t, np.uint64), np.array([0]), np.array([len(t) // 8]), k)[0])
+                ux, uy = known[p], known[q]
                 both = len(np.intersect1d(ux, uy, assume_unique=True))
                 j = both / (len(ux) + len(uy) - both) if both else 0.0
-                if j < least - 1e-12:
-                    continue
-                c = aligned(x, y, kx, ky, k)
-                if c >= aligned_least:
+                if j >= least - 1e-12:
                     rows.append(r)
                     sim.append(j)
-                    cover.append(c)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), b.column(1).take(pa.array(rows, pa.int64())), pa.array(sim, pa.float64()), pa.array(cover, pa.float64())], ["key_a", "key_b", "similarity", "aligned"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), b.column(1).take(pa.array(rows, pa.int64())), pa.array(sim, pa.float64())], ["key_a", "key_b", "similarity"])
+
+    return pairs.select("key_a", "key_b", "words_a", "words_b").mapInArrow(run, "key_a long, key_b long, similarity double")
 
-    return pairs.select("key_a", "key_b", "words_a", "words_b").mapInArrow(run, "key_a long, key_b long, similarity double, aligned double")
+
+def coverage(pairs: DataFrame, k: int) -> DataFrame:
+    """(key_a, key_b, aligned) of all pairs; pairs: key_a, key_b, words_a, words_b."""
+
+    def run(batches):
+        for b in batches:
+            cover = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                cover.append(aligned(x, y, *(kmers(t, np.array([0]), np.array([len(t)]), k)[0] for t in (x, y)), k))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cover, pa.float64())], ["key_a", "key_b", "aligned"])
+
+    return pairs.select("key_a", "key_b", "words_a", "words_b").mapInArrow(run, "key_a long, key_b long, aligned double")
 
 
 class NearCopies:
     """The classes of a collection of texts and the links between them.
 
-    members: kind, id, grp, text_key, one row for each id; links: key_a < key_b, similarity, aligned.
+    members: kind, id, grp, text_key, one row for each id; links: key_a < key_b, similarity.
     """
 
     def __init__(self, df: DataFrame, k: int = 5, least: float = 0.8, min_words: int = 5) -> None:
@@ -262,8 +271,15 @@ class NearCopies:
         candidates = cut(candidate_pairs(posts, least), "candidates")
         wanted = candidates.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
         held = cut(classes.select("text_key", "words").join(wanted, "text_key", "left_semi"), "wanted")
-        texts = candidates.join(held.withColumnsRenamed({"text_key": "key_a", "words": "words_a"}), "key_a").join(held.withColumnsRenamed({"text_key": "key_b", "words": "words_b"}), "key_b")
-        self.links = cut(verify(texts, k, least), "links")
+        self.k, self._held = k, held
+        self.links = cut(verify(self._texts(candidates), k, least), "links")
+
+    def _texts(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self._held.withColumnsRenamed({"text_key": "key_a", "words": "words_a"}), "key_a").join(self._held.withColumnsRenamed({"text_key": "key_b", "words": "words_b"}), "key_b")
+
+    def alignments(self) -> DataFrame:
+        """(key_a, key_b, aligned): the share of the words of both texts of each link that alignments cover."""
+        return coverage(self._texts(self.links.select("key_a", "key_b")), self.k)
 
     def pairs(self) -> DataFrame:
         """(kind, id_a, id_b): alike ids of different groups; of copies of few, all, of copies of many, each with the first."""

@@ -127,7 +127,7 @@ def test_hot_group_of_copies_is_linear(spark):
     assert {r.group_id for r in n.groups().collect()} == {0}
 
 
-@pytest.mark.parametrize("others, size", [(11_880, 120), (600, 300)])
+@pytest.mark.parametrize("others, size", [(11_880, 120), (400, 200)])
 def test_hot_group_of_differing_texts(spark, others, size):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(5000)]
@@ -157,6 +157,17 @@ def test_hot_blocks_lose_no_pairs(spark, monkeypatch):
     assert nearcopies.candidate_pairs(blocks, 0.6).count() == nearcopies.candidate_pairs(posts, 0.6).count() == 60 * 59 // 2
 
 
+def test_repeated_passages_are_decided_by_jaccard(spark):
+    one = [f"p{i}" for i in range(50)]
+    edited = one * 4
+    edited[70] = "edit"
+    texts = [" ".join(one), " ".join(one * 4), " ".join(edited), " ".join(f"q{i}" for i in range(50))]
+    n = nearcopies.NearCopies(spark.createDataFrame([("chunk", i, None, t) for i, t in enumerate(texts)], "kind string, id long, grp string, text string"), 3, 0.6, 40)
+    true = {(a, b) for a, b in itertools.combinations(range(4), 2) if similarity(texts[a], texts[b]) >= 0.6}
+    assert {(r.id_a, r.id_b) for r in n.pairs().collect()} == true == {(0, 1), (0, 2), (1, 2)}
+    assert n.alignments().count() == 3
+
+
 def test_aligned_follows_moved_passages():
     w = np.arange(100, dtype=np.uint64)
     moved = np.concatenate([w[50:], w[:50]])
