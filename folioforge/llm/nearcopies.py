@@ -20,7 +20,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folioforge.session import cut, cut_by
 
@@ -30,7 +30,7 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 64
 #: Frequent k-mers kept at most, the most frequent first (16 bytes each).
 FREQUENT_MOST = 1_000_000
 BAND = 8
-#: Member pairs of two classes up to which all are written; above, those of the first member of either.
+#: Member pairs of two classes up to which all are written; above, those of the representatives of either.
 EXPAND = 10_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -282,22 +282,27 @@ class NearCopies:
         return coverage(self._texts(self.links.select("key_a", "key_b")), self.k)
 
     def pairs(self) -> DataFrame:
-        """(kind, id_a, id_b): alike ids of different groups; of copies of few, all, of copies of many, each with the first."""
+        """(kind, id_a, id_b): alike ids of different groups; of copies of few, all, of copies of many, each with a representative.
+
+        Representatives of a class are its first id and the first id of another group than that one's, so that each member with a
+        partner in another group has one among them.
+        """
         m = self.members
-        sizes = m.groupBy("text_key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        m = m.join(sizes, "text_key")
-        a = m.select("kind", F.col("text_key").alias("key_a"), F.col("id").alias("ia"), F.col("grp").alias("ga"), F.col("n").alias("na"), (F.col("id") == F.col("first")).alias("fa"))
-        b = m.select(F.col("text_key").alias("key_b"), F.col("id").alias("ib"), F.col("grp").alias("gb"), F.col("n").alias("nb"), (F.col("id") == F.col("first")).alias("fb"))
+        order = Window.partitionBy("text_key").orderBy("lo")
+        sizes = m.groupBy("text_key", "grp").agg(F.count("*").alias("c"), F.min("id").alias("lo")).withColumn("place", F.row_number().over(order))
+        sizes = sizes.groupBy("text_key").agg(F.sum("c").alias("n"), *(F.max(F.when(F.col("place") == i, F.col("lo"))).alias(name) for i, name in ((1, "first"), (2, "other"))))
+        m = m.join(sizes, "text_key").withColumn("stands", F.col("id").eqNullSafe(F.col("first")) | F.col("id").eqNullSafe(F.col("other")))
+        a, b = (m.select(*(["kind"] if x == "a" else []), F.col("text_key").alias(f"key_{x}"), F.col("id").alias(f"i{x}"), F.col("grp").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("stands").alias(f"s{x}")) for x in "ab")
         links = self.links.select("key_a", "key_b").join(sizes.select(F.col("text_key").alias("key_a"), F.col("n").alias("la")), "key_a").join(sizes.select(F.col("text_key").alias("key_b"), F.col("n").alias("lb")), "key_b")
         few, many = links.where(F.col("la") * F.col("lb") <= EXPAND).drop("la", "lb"), links.where(F.col("la") * F.col("lb") > EXPAND).drop("la", "lb")
         linked = (
             few.join(a, "key_a").join(b, "key_b")
-            .unionByName(many.join(a.where("fa"), "key_a").join(b, "key_b"))
-            .unionByName(many.join(a, "key_a").join(b.where("fb"), "key_b"))
+            .unionByName(many.join(a.where("sa"), "key_a").join(b, "key_b"))
+            .unionByName(many.join(a, "key_a").join(b.where("sb"), "key_b"))
         )
         copies = a.where(F.col("na") > 1)
         small = copies.where(F.col("na") <= 100)
-        same = small.join(b.where("nb > 1 and nb <= 100"), F.col("key_a") == F.col("key_b")).where("ia < ib").unionByName(copies.where("na > 100 and fa").join(b.where("nb > 100 and not fb"), F.col("key_a") == F.col("key_b")))
+        same = small.join(b.where("nb > 1 and nb <= 100"), F.col("key_a") == F.col("key_b")).where("ia < ib").unionByName(copies.where("na > 100 and sa").join(b.where("nb > 100"), F.col("key_a") == F.col("key_b")))
         every = linked.unionByName(same)
         apart = F.col("ga").isNull() | F.col("gb").isNull() | (F.col("ga") != F.col("gb"))
         return every.where(apart & (F.col("ia") != F.col("ib"))).select("kind", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()

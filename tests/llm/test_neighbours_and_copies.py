@@ -168,6 +168,16 @@ def test_repeated_passages_are_decided_by_jaccard(spark):
     assert n.alignments().count() == 3
 
 
+def test_copies_within_a_hot_document_keep_partners(spark):
+    words = [f"u{i}" for i in range(60)]
+    near = " ".join(words[:59] + ["edit"])
+    rows = [("document", i, "hot", " ".join(words)) for i in range(150)] + [("document", 500 + i, f"d{i}", " ".join(words)) for i in range(3)]
+    rows += [("document", 1000 + i, "hot", near) for i in range(150)] + [("document", 2000, "far", near)]
+    p = nearcopies.NearCopies(spark.createDataFrame(rows, "kind string, id long, grp string, text string"), 3, 0.6, 40).pairs().collect()
+    grp = {r[1]: r[2] for r in rows}
+    assert {i for r in p for i in (r.id_a, r.id_b)} == set(grp) and all(grp[r.id_a] != grp[r.id_b] for r in p)
+
+
 def test_aligned_follows_moved_passages():
     w = np.arange(100, dtype=np.uint64)
     moved = np.concatenate([w[50:], w[:50]])
