@@ -26,7 +26,8 @@ from folioforge.session import cut, cut_by
 
 #: Classes of one block of a k-mer that many hold.
 BLOCK = 2_000
-FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 64
+#: Classes that hold a k-mer from which on its frequency counts in the order.
+FREQUENT_LEAST = 3
 #: Frequent k-mers kept at most, the most frequent first (16 bytes each).
 FREQUENT_MOST = 1_000_000
 BAND = 8
@@ -95,7 +96,7 @@ def _laid(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def frequent(classes: DataFrame, total: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(values, numbers) of the k-mers in more than the frequent number of classes, sorted by value."""
-    least = max(FREQUENT_LEAST, FREQUENT_SHARE * total)
+    least = FREQUENT_LEAST
 
     def count(batches):
         held, docs = [], 0

@@ -178,6 +178,13 @@ def test_copies_within_a_hot_document_keep_partners(spark):
     assert {i for r in p for i in (r.id_a, r.id_b)} == set(grp) and all(grp[r.id_a] != grp[r.id_b] for r in p)
 
 
+def test_links_at_the_limit_are_candidates(spark):
+    texts = [" ".join([f"a{g}x{i}" for i in range(47)] + [f"b{g}x{v}x{i}" for i in range(15)]) for g in range(300) for v in range(2)]
+    df = spark.createDataFrame([("chunk", i, None, t) for i, t in enumerate(texts)], "kind string, id long, grp string, text string")
+    assert similarity(texts[0], texts[1]) == 0.6
+    assert {(r.id_a, r.id_b) for r in nearcopies.NearCopies(df, 3, 0.6, 40).pairs().collect()} == {(2 * g, 2 * g + 1) for g in range(300)}
+
+
 def test_aligned_follows_moved_passages():
     w = np.arange(100, dtype=np.uint64)
     moved = np.concatenate([w[50:], w[:50]])
