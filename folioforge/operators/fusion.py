@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folioforge.settings import DEFAULT
 
 
-def candidates(hits: DataFrame, key: str, n: int = DEFAULT.candidates) -> DataFrame:
-    """The best n usable hits of each (qid, sub), one for each row; hits: qid, sub, key, score."""
+def candidates(hits: DataFrame, key: str, n: int | None = DEFAULT.candidates) -> DataFrame:
+    """The best n usable hits of each (qid, sub), all where n is None, one for each row; hits: qid, sub, key, score."""
     good = hits.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("qid", "sub", key).agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid", "sub").orderBy(F.round("score", 9).desc(), key)
-    return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    placed = good.withColumn("rank", F.row_number().over(w))
+    return placed if n is None else placed.where(F.col("rank") <= n)
 
 
 def min_max(c: DataFrame, floor: float = DEFAULT.minmax_floor) -> DataFrame:

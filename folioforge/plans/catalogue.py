@@ -280,7 +280,7 @@ _HYBRID = f"""{_MINMAX}, f AS (SELECT qid, chunk_uid, sum(0.5::DOUBLE * norm) AS
 
 
 def _hits(spark, d) -> DataFrame:
-    return fusion.candidates(table(spark, d, "search_hit").withColumnRenamed("score_kind", "sub"), "chunk_uid")
+    return fusion.candidates(table(spark, d, "search_hit").withColumnRenamed("score_kind", "sub"), "chunk_uid", None)
 
 
 def _hybrid(spark, d) -> DataFrame:

@@ -69,3 +69,12 @@ def test_query_variants(spark):
     q = spark.createDataFrame([("q", "Find x", "find X", ["a", "A"], ["m"]), ("r", "y", None, None, None)], "qid string, text string, rephrase string, keywords array<string>, model array<string>")
     got = [(r.qid, r.kind, r.text, round(r.weight, 2), r.alpha) for r in fusion.weighted_variants(q).orderBy("qid", "order").collect()]
     assert got == [("q", "keyword", "a", 2.0, 0.2), ("q", "semantic", "find X", 1.8, 0.5), ("q", "semantic", "m", 0.7, 0.5), ("r", "semantic", "y", 1.0, 0.5)]
+
+
+def test_given_hits_are_fused_whole(spark, tmp_path):
+    from folioforge.plans import catalogue
+
+    spark.createDataFrame([("q", i, "keyword", float(i)) for i in range(700)], "qid string, chunk_uid long, score_kind string, score double").write.parquet(f"{tmp_path}/search_hit.parquet")
+    assert catalogue.rrf_fusion(spark, str(tmp_path)).count() == 700
+    best = catalogue.hybrid_minmax(spark, str(tmp_path)).where("chunk_uid = 650").first()
+    assert abs(best.score - 0.5 * 650 / 699) < 1e-6
