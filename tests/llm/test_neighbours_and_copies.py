@@ -127,34 +127,83 @@ def test_hot_group_of_copies_is_linear(spark):
     assert {r.group_id for r in n.groups().collect()} == {0}
 
 
-@pytest.mark.parametrize("others, size", [(11_880, 120), (400, 200)])
-def test_hot_group_of_differing_texts(spark, others, size):
-    rng = random.Random(1)
-    vocab = [f"w{i}" for i in range(5000)]
-    base = rng.choices(vocab, k=60)
+def family(size, words, edits, seed=1):
+    """Texts that differ from one another by a few words each."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
     texts = []
     for _ in range(size):
         w = list(base)
-        for j in rng.sample(range(60), 2):
+        for j in rng.sample(range(words), edits):
             w[j] = f"e{rng.randrange(10**6)}"
         texts.append(" ".join(w))
-    true = {(a, b) for a, b in itertools.combinations(range(size), 2) if similarity(texts[a], texts[b]) >= 0.6}
-    texts += [" ".join(rng.choices(vocab, k=60)) for _ in range(others)]
+    return texts
+
+
+def linked(texts, least=0.6, k=3):
+    """Brute force by a matrix of shared k-mers."""
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in map(str.split, texts)]
+    names = {x: n for n, x in enumerate(set().union(*sets))}
+    m = np.zeros((len(texts), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[x] for x in s]] = 1
+    both = m @ m.T
+    n = m.sum(1)
+    a, b = np.nonzero(np.triu(both / (n[:, None] + n[None, :] - both) >= least - 1e-6, 1))
+    return set(zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("others, size, words, edits", [(3000, 120, 60, 2), (400, 400, 120, 3)])
+def test_hot_group_of_differing_texts(spark, others, size, words, edits):
+    texts = family(size, words, edits)
+    true = linked(texts)
+    rng = random.Random(2)
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(others)]
     n = nearcopies.NearCopies(spark.createDataFrame([("chunk", i, None, t) for i, t in enumerate(texts)], "kind string, id long, grp string, text string"), 3, 0.6, 40)
     assert {(r.id_a, r.id_b) for r in n.pairs().collect()} == true
     groups = {r.id: r for r in n.groups().collect()}
-    assert all(groups[i].n_links == sum(i in p for p in true) for i in range(size)) and {groups[i].group_id for p in true for i in p} == {0}
+    degree = np.bincount(np.array(sorted(true)).ravel(), minlength=size)
+    assert all(groups[i].n_links == degree[i] for i in range(size)) and {groups[i].group_id for p in true for i in p} == {0}
 
 
-def test_hot_blocks_lose_no_pairs(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "FREQUENT_LEAST", 2)
-    base = [f"b{i}" for i in range(60)]
-    texts = [" ".join(base[:i] + [f"e{i}"] + base[i + 1 :]) for i in range(60)]
+def test_large_buckets_are_parted_and_lose_no_pairs(spark, monkeypatch):
+    texts = family(300, 60, 2) + family(40, 60, 2, 9)
+    true = linked(texts)
     df = spark.createDataFrame([("chunk", i, None, t) for i, t in enumerate(texts)], "kind string, id long, grp string, text string")
-    classes = nearcopies.word_table(df, 40).select("text_key", "words", "kind")
-    posts = nearcopies.prefixes(classes, nearcopies.frequent(classes, 60, 3), 3, 0.6)
-    blocks = posts.withColumn("blocks", (posts.blocks + 6).cast("int"))
-    assert nearcopies.candidate_pairs(blocks, 0.6).count() == nearcopies.candidate_pairs(posts, 0.6).count() == 60 * 59 // 2
+    monkeypatch.setattr(nearcopies, "BUCKET", 20)
+    for partitions in (2, 7):
+        n = nearcopies.NearCopies(df.repartition(partitions), 3, 0.6, 40)
+        assert {(r.id_a, r.id_b) for r in n.pairs().collect()} == true
+
+
+def test_blocks_meet_whole(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BUCKET", 20)
+    df = spark.createDataFrame([(7, i, 50, 1, 2, 3, 4) for i in range(100)], "bucket long, text_key long, size int, b0 long, b1 long, b2 long, b3 long")
+    got = nearcopies.in_blocks(df.select("bucket", "text_key"), df.drop("bucket"), 0.6).collect()
+    assert len(got) == len(set(got)) == 4950
+
+
+def test_a_hot_bucket_is_told_by_its_batch_and_found_in_the_sorted_pass(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BUCKET", 4)
+    rows = [(1, i, 0) for i in range(4)] + [(2, i, 0) for i in range(5)] + [(3, 1, 0)] + [(4, i, 1) for i in range(6)] + [(4, 0, 2), (4, 9, 0)]
+    got = nearcopies.buckets(spark.createDataFrame(rows, "bucket long, text_key long, role tinyint")).collect()
+    assert sorted((r.bucket, r.text_key, r.large) for r in got) == sorted([(1, i, False) for i in range(4)] + [(2, i, True) for i in range(5)] + [(4, i, True) for i in range(6)] + [(4, 9, True)])
+
+
+def test_copies_are_counted_as_links(spark):
+    words = [f"u{i}" for i in range(60)]
+    near = " ".join(words[:59] + ["edit"])
+    rows = [("document", i, "hot", " ".join(words)) for i in range(150)] + [("document", 500 + i, f"d{i}", " ".join(words)) for i in range(3)] + [("document", 900, "d0", near), ("document", 901, None, near)]
+    groups = {r.id: r.n_links for r in nearcopies.NearCopies(spark.createDataFrame(rows, "kind string, id long, grp string, text string"), 3, 0.6, 40).groups().collect()}
+    grp = {r[1]: r[2] for r in rows}
+    assert groups == {i: sum(j != i and (grp[i] is None or grp[j] != grp[i]) for j in grp) for i in grp}
+
+
+def test_texts_of_few_distinct_words(spark):
+    texts = ["a b " * 25, "a b " * 30, "a b " * 20 + "c", "d e f " * 20, "d e f " * 15 + "g", "a " * 50]
+    true = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similarity(texts[a], texts[b]) >= 0.6}
+    got = nearcopies.NearCopies(spark.createDataFrame([("chunk", i, None, t) for i, t in enumerate(texts)], "kind string, id long, grp string, text string"), 3, 0.6, 40).pairs().collect()
+    assert {(r.id_a, r.id_b) for r in got} == true and len(true) >= 3
 
 
 def test_repeated_passages_are_decided_by_jaccard(spark):
