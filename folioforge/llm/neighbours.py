@@ -1,12 +1,11 @@
 """The k most similar vectors of every vector by a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by the order of its
-nearest pivots, and is posted in the pivot inverted files of the first ``post`` of them. A
-query reads the file of its nearest pivot, ranks the vectors posted there by the footrule
-distance of the two orders (a pivot beyond the prefix counts as one place after it),
-keeps the best ``rerank`` and orders those by cosine. As queries go to one file only, no pair is
-compared twice and no result lists are merged, except where a file is so large that it
-is split: queries and postings of a file go to blocks of bounded size, each pair of blocks is one group.
+Pivots are a bounded sample of the vectors, as many as ``PIVOTS`` times the root of their number. A vector is posted in the inverted files of
+its ``post`` nearest pivots. A query reads the files of its ``probe`` nearest pivots. In each file the vectors are represented by the order of
+the ``near`` pivots around the file's own, and are ranked by the footrule distance to the query's order, with places
+counted in steps (`EDGES`), so that the distance is a number of differing bits. The best ``rerank`` times the root of the file's length are reranked by cosine; no other
+cosine is computed. What a query has met in a file is left out of its later ones. Files so large that they would not fit one task are split: queries and postings of a file go to
+blocks of bounded size, each pair of blocks is one group.
 
 Vectors are unit-normalised and held as 16-bit fixed point, so cosines are exact to about 1e-4.
 Equal vectors are one vector of the index; their copies come back at the end.
@@ -26,9 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from folioforge.session import cut
 
-PIVOTS, PREFIX, POST, RERANK = 512, 16, 10, 4096
-#: Vectors up to which the number of pivots stays; beyond, it grows as the root, so that files do too.
-PIVOTS_FOR = 200_000
+PIVOTS, POST, PROBE, NEAR, RERANK = 3.0, 10, 3, 768, 8.0
+#: Shares of the near pivots at which places are counted one step further.
+EDGES = (1 / 6, 5 / 12)
 QUERY_BLOCK, POST_BLOCK = 4096, 16384
 _SCALE = 32767.0
 
@@ -69,37 +68,48 @@ def codes(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.select(F.col(key).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(run, "uid long, code binary").groupBy("uid").agg(F.min("code").alias("code"))
 
 
-def block(q: np.ndarray, x: np.ndarray, wq: np.ndarray, wx: np.ndarray, same: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """(rows, words): the places of the pivots in the order of each vector, as bits that say which edges a place lies below.
+
+    The footrule distance of two orders, in steps, is the number of bits that differ.
+    """
+    o = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
+    place = np.empty(o.shape, np.int32)
+    np.put_along_axis(place, o, np.arange(o.shape[1], dtype=np.int32)[None, :], 1)
+    bits = np.concatenate([place < max(1, round(e * o.shape[1])) for e in EDGES], 1)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def ranked(q: np.ndarray, x: np.ndarray, wq: np.ndarray, wx: np.ndarray, out: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions in x, cosines) of the best of each query, -1 where there are fewer.
 
-    wq, wx: weights of the pivots in each order, prefix for the nearest down to 0 beyond
-    it; the footrule distance is a constant less twice the sum of the smaller weights.
-    same: the position in x of each query itself, or -1.
+    wq, wx: orders; out: (queries, rows) what isn't to be met. Cosines are computed of the ``rerank`` rows with the least footrule distance.
     """
-    n = len(x)
-    k = min(k, n)
+    k, r = min(k, len(x)), min(rerank, len(x))
     best, how = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -2, np.float32)
-    for a in range(0, len(q), 256):
-        b = min(a + 256, len(q))
-        s = q[a:b] @ x.T
-        if n > rerank:
-            f, t = np.zeros((b - a, n), np.uint8), np.empty((b - a, n), np.uint8)
-            for p in np.flatnonzero(wq[a:b].any(0)):
-                np.minimum(wq[a:b, p, None], wx[p], out=t)
-                np.add(f, t, out=f)
-            least = np.partition(f, n - rerank, axis=1)[:, n - rerank, None]
-            s[f < least] = -2
-        own = np.flatnonzero(same[a:b] >= 0)
-        s[own, same[a:b][own]] = -2
-        top = np.argpartition(s, n - k, axis=1)[:, n - k :]
-        c = np.take_along_axis(s, top, 1)
-        o = np.argsort(-c, axis=1, kind="stable")
-        best[a:b], how[a:b] = np.take_along_axis(top, o, 1), np.take_along_axis(c, o, 1)
+    wx = np.ascontiguousarray(wx.T)
+    for a in range(0, len(q), 64):
+        b = min(a + 64, len(q))
+        if r < len(x):
+            f = np.zeros((b - a, len(x)), np.uint16)
+            for w in range(len(wx)):
+                f += np.bitwise_count(wq[a:b, w, None] ^ wx[w])
+            f[out[a:b]] = 65535
+            top = np.sort(np.argpartition(f, r - 1, axis=1)[:, :r], axis=1)
+        else:
+            top = np.broadcast_to(np.arange(len(x)), (b - a, len(x)))
+        c = np.matmul(x[top], q[a:b, :, None])[:, :, 0]
+        c[np.take_along_axis(out[a:b], top, 1)] = -2
+        t = np.argpartition(-c, k - 1, axis=1)[:, :k]
+        v = np.take_along_axis(c, t, 1)
+        o = np.argsort(-v, axis=1, kind="stable")
+        best[a:b], how[a:b] = np.take_along_axis(np.take_along_axis(top, t, 1), o, 1), np.take_along_axis(v, o, 1)
     best[how <= -1.5] = -1
     return best, how
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, pivots: int = PIVOTS, prefix: int = PREFIX, post: int = POST, rerank: int = RERANK) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, pivots: float = PIVOTS, post: int = POST, probe: int = PROBE, near: int = NEAR, rerank: float = RERANK) -> DataFrame:
     """(uid, neighbour BIGINT, cosine DOUBLE, rank INT) for every usable vector of ``df``."""
     spark = df.sparkSession
     all_codes = cut(codes(df, key, vector, dim), "codes")
@@ -107,25 +117,35 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, pi
     classes = cut(salted.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("u"))), 1, k + 1).alias("members"), F.sum("n").alias("n")).withColumn("uid", F.col("members")[0]), "classes")
     held = classes.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
     n, copies = held.n, (held.most or 1) > 1
-    number = max(1, min(n, max(16, min(n // 64, pivots if n <= PIVOTS_FOR else int(pivots * math.sqrt(n / PIVOTS_FOR))))))
-    prefix = min(prefix, number)
-    post = min(post, prefix)
+    number = max(1, min(n, math.ceil(pivots * math.sqrt(n))))
+    post = min(post, number)
+    probe = min(probe, post)
     sample = classes.select("code", F.xxhash64("uid").alias("h"), "uid").orderBy("h", "uid").limit(number).select("code").toArrow()
-    shared = spark.sparkContext.broadcast(_units(sample.column("code"), dim))
+    shared = spark.sparkContext.broadcast(_units(sample.column("code"), dim))  # grows as the root of the rows: 24 MB for a billion
 
-    def orders(batches):
+    def placed(batches):
         p = shared.value
         for b in batches:
             x = _units(b.column(1), dim)
-            out = np.zeros((len(x), prefix), np.int16)
-            for a in range(0, len(x), 8192):
-                s = -(x[a : a + 8192] @ p.T)
-                o = np.argpartition(s, prefix - 1, axis=1)[:, :prefix] if prefix < p.shape[0] else np.broadcast_to(np.arange(prefix), (len(s), prefix))
-                out[a : a + 8192] = np.take_along_axis(o, np.argsort(np.take_along_axis(s, o, 1), axis=1, kind="stable"), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _rows(out), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * post), pa.array(np.ascontiguousarray(out[:, :post]).ravel().astype(np.int32)))], ["uid", "code", "perm", "files"])
-
-    ordered = cut(classes.select("uid", "code").mapInArrow(orders, "uid long, code binary, perm binary, files array<int>"), "orders")
-    sizes = ordered.select(F.posexplode("files").alias("place", "file")).groupBy("file").agg(F.count("*").alias("x"), F.count_if(F.col("place") == 0).alias("q")).collect()  # a row for each pivot
+            out = np.zeros((len(x), post), np.int32)
+            for a in range(0, len(x), 4096):
+                s = -(x[a : a + 4096] @ p.T)
+                o = np.argpartition(s, post - 1, axis=1)[:, :post]
+                out[a : a + 4096] = np.take_along_axis(o, np.argsort(np.take_along_axis(s, o, 1), axis=1, kind="stable"), 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _rows(out)], ["uid", "code", "files"])
+
+    ordered = cut(classes.select("uid", "code").mapInArrow(placed, "uid long, code binary, files binary"), "orders")
+
+    def counted(batches):
+        x, q = np.zeros(number, np.int64), np.zeros(number, np.int64)
+        for b in batches:
+            f = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32).reshape(-1, post)
+            x += np.bincount(f.ravel(), minlength=number)
+            q += np.bincount(f[:, :probe].ravel(), minlength=number)
+        some = np.flatnonzero(x)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(x[some]), pa.array(q[some])], ["file", "x", "q"])
+
+    sizes = ordered.select("files").mapInArrow(counted, "file long, x long, q long").groupBy("file").agg(F.sum("x").alias("x"), F.sum("q").alias("q")).collect()  # a row for each pivot
     qb, xb = np.ones(number, np.int64), np.ones(number, np.int64)
     for r in sizes:
         qb[r.file], xb[r.file] = max(1, -(-r.q // QUERY_BLOCK)), max(1, -(-r.x // POST_BLOCK))
@@ -133,70 +153,79 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, pi
     blocks = spark.sparkContext.broadcast((qb, xb))
 
     def postings(batches):
+        """role: -1 a posting, r a query that reads its r-th file, 100 + r both."""
         qb, xb = blocks.value
         for b in batches:
             uid = b.column(0).to_numpy()
-            files = np.asarray(b.column(3).values.to_numpy()).reshape(len(uid), post).astype(np.int64)
+            files = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int32).reshape(len(uid), post).astype(np.int64)
             mixed = (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             rows, group, role = [], [], []
 
             def emit(i, f, my_q, my_x, what):
                 rows.append(i)
                 group.append((f * most_q + my_q) * most_x + my_x)
-                role.append(np.full(len(i), what, np.int8))
+                role.append(np.full(len(i), what, np.int16))
 
             for place in range(post):
                 f = files[:, place]
                 my_x, my_q = mixed % xb[f], mixed % qb[f]
                 plain = (qb[f] == 1) & (xb[f] == 1)
                 i = np.flatnonzero(plain)
-                emit(i, f[i], 0, 0, 2 if place == 0 else 0)
+                emit(i, f[i], 0, 0, 100 + place if place < probe else -1)
                 for j in range(most_q if (~plain).any() else 0):
                     i = np.flatnonzero(~plain & (qb[f] > j))
-                    emit(i, f[i], j, my_x[i], 0)
-                for j in range(most_x if place == 0 and (~plain).any() else 0):
+                    emit(i, f[i], j, my_x[i], -1)
+                for j in range(most_x if place < probe and (~plain).any() else 0):
                     i = np.flatnonzero(~plain & (xb[f] > j))
-                    emit(i, f[i], my_q[i], j, 1)
+                    emit(i, f[i], my_q[i], j, place)
             i = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group), pa.int64()), pa.array(np.concatenate(role), pa.int8()), *(b.column(c).take(i) for c in range(3))], ["file", "role", "uid", "code", "perm"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group), pa.int64()), pa.array(np.concatenate(role), pa.int16()), *(b.column(c).take(i) for c in range(3))], ["file", "role", "uid", "code", "files"])
 
     def search(t: pa.Table) -> pa.Table:
+        p, file = shared.value, t.column("file")[0].as_py() // (most_q * most_x)
+        around = p @ p[file]
+        local = p[np.argpartition(-around, near - 1)[:near]] if near < len(p) else p
         role, uid = t.column("role").to_numpy(), t.column("uid").to_numpy()
         o = np.argsort(uid, kind="stable")
         role, uid = role[o], uid[o]
         v = _units(t.column("code"), dim)[o]
-        perm = np.frombuffer(b"".join(t.column("perm").to_pylist()), np.int16).reshape(-1, prefix)[o]
-        isq, isx = role >= 1, role != 1
-        if isx.sum() > rerank:
-            seen, local = np.unique(perm, return_inverse=True)
-            w = np.zeros((len(perm), len(seen)), np.uint8)
-            w[np.arange(len(perm))[:, None], local.reshape(perm.shape)] = np.arange(prefix, 0, -1)
-        else:
-            w = np.zeros((len(perm), 0), np.uint8)
-        xu, qu = uid[isx], uid[isq]
-        at = np.searchsorted(xu, qu) if len(xu) else np.zeros(len(qu), np.int64)
-        same = np.where((at < len(xu)) & (xu[np.minimum(at, len(xu) - 1)] == qu), at, -1) if len(xu) else np.full(len(qu), -1)
-        best, how = block(v[isq], v[isx], w[isq], np.ascontiguousarray(w[isx].T), same, k, rerank) if len(xu) else (np.full((len(qu), 0), -1), np.zeros((len(qu), 0)))
+        files = np.frombuffer(b"".join(t.column("files").to_pylist()), np.int32).reshape(-1, post)[o]
+        isq, isx = role >= 0, (role < 0) | (role >= 100)
+        xu, qu, probed = uid[isx], uid[isq], role[isq] % 100
+        out = qu[:, None] == xu[None, :]
+        fx, fq = files[isx], files[isq]
+        for e in range(int(probed.max(initial=0))):
+            late = np.flatnonzero(probed > e)
+            for j in range(post):
+                out[late] |= fq[late, e, None] == fx[None, :, j]
+        w = orders(v, local)
+        best, how = ranked(v[isq], v[isx], w[isq], w[isx], out, k, math.ceil(rerank * math.sqrt(len(xu)))) if len(xu) and len(qu) else (np.full((len(qu), 0), -1), np.zeros((len(qu), 0)))
         got = best >= 0
-        width = got.sum(1)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32))
-        return pa.table({"uid": pa.array(qu, pa.int64()), "found": pa.ListArray.from_arrays(offsets, pa.array(xu[best[got]] if len(xu) else [], pa.int64())), "cosines": pa.ListArray.from_arrays(offsets, pa.array(how[got].astype(np.float64), pa.float64()))})
-
-    hits = ordered.mapInArrow(postings, "file long, role tinyint, uid long, code binary, perm binary").groupBy("file").applyInArrow(search, "uid long, found array<long>, cosines array<double>")
-    pairs = hits.select("uid", F.posexplode(F.arrays_zip("found", "cosines")).alias("place", "p")).select("uid", F.col("p.found").alias("neighbour"), F.col("p.cosines").alias("cosine"), (F.col("place") + 1).alias("rank"))
-    if most_x == 1 and not copies:
+        offsets = pa.array(np.concatenate([[0], np.cumsum(got.sum(1))]).astype(np.int32))
+        return pa.table({"uid": pa.array(qu, pa.int64()), "found": pa.ListArray.from_arrays(offsets, pa.array(xu[best[got]] if len(xu) else [], pa.int64())), "cosines": pa.ListArray.from_arrays(offsets, pa.array(how[got].astype(np.float32), pa.float32()))})
+
+    hits = ordered.mapInArrow(postings, "file long, role short, uid long, code binary, files binary").groupBy("file").applyInArrow(search, "uid long, found array<long>, cosines array<float>")
+    # at most probe times the blocks of a file lists of k each
+    near_first = F.array_sort(F.flatten(F.collect_list(F.zip_with("found", "cosines", lambda u, c: F.struct((-c).alias("far"), u.alias("neighbour"))))))
+    merged = hits.groupBy("uid").agg(F.slice(near_first, 1, k).alias("m"))
+    pairs = merged.select("uid", F.posexplode("m").alias("place", "p")).select("uid", F.col("p.neighbour").alias("neighbour"), (-F.col("p.far")).cast("double").alias("cosine"), (F.col("place") + 1).alias("rank"))
+    if not copies:
         return pairs
     pairs = cut(pairs.drop("rank"), "neighbours")
-    if copies:
-        several = classes.where("n > 1")
-        # a neighbour stands for its first k + 1 copies; each copy of a vector has its other copies and its vector's neighbours
-        wide = pairs.join(several.select(F.col("uid").alias("neighbour"), "members"), "neighbour", "left").select("uid", F.explode(F.coalesce("members", F.array("neighbour"))).alias("neighbour"), "cosine")
-        member = several.select("code", F.col("uid").alias("of")).join(all_codes, "code").select("of", "uid")
-        of_copies = member.join(wide.withColumnRenamed("uid", "of"), "of").select("uid", "neighbour", "cosine")
-        among = several.select(F.col("uid").alias("of"), F.explode("members").alias("neighbour")).join(member, "of").where("uid <> neighbour").select("uid", "neighbour", F.lit(1.0).alias("cosine"))
-        pairs = wide.join(several.select("uid"), "uid", "left_anti").unionByName(of_copies).unionByName(among)
+    several = classes.where("n > 1")
+    # a neighbour stands for its first k + 1 copies; each copy of a vector has its other copies and its vector's neighbours
+    wide = pairs.join(several.select(F.col("uid").alias("neighbour"), "members"), "neighbour", "left").select("uid", F.explode(F.coalesce("members", F.array("neighbour"))).alias("neighbour"), "cosine")
     best = Window.partitionBy("uid").orderBy(F.desc("cosine"), "neighbour")
-    return pairs.select("uid", "neighbour", "cosine", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
+    wide = wide.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    # a vector's lists, k + 1 members and k neighbours, are repeated for each salt, so that no task gets all copies of one vector
+    lists = several.select("code", F.col("uid").alias("of"), "members").join(wide.groupBy(F.col("uid").alias("of")).agg(F.collect_list(F.struct("neighbour", "cosine")).alias("others")), "of", "left")
+    lists = lists.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    member = all_codes.withColumn("s", F.pmod(F.xxhash64("uid"), F.lit(64)).cast("int")).join(lists, ["code", "s"])
+    own = F.transform(F.filter("members", lambda m: m != F.col("uid")), lambda m: F.struct(m.alias("neighbour"), F.lit(1.0).alias("cosine")))
+    every = F.array_sort(F.transform(F.concat(own, F.coalesce("others", F.array().cast("array<struct<neighbour:bigint,cosine:double>>"))), lambda x: F.struct((-x["cosine"]).alias("far"), x["neighbour"].alias("neighbour"))))
+    of_copies = member.select("uid", F.explode(F.slice(every, 1, k)).alias("x")).select("uid", F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("cosine"))
+    pairs = wide.join(several.select("uid"), "uid", "left_anti").unionByName(of_copies)
+    return pairs.select("uid", "neighbour", "cosine", F.row_number().over(best).alias("rank"))
 
 
 def alike(neighbours: DataFrame, least: float) -> DataFrame:

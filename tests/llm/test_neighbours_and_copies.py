@@ -48,7 +48,7 @@ def test_many_copies_and_split_files(spark, monkeypatch):
     rows = [(i, [0.5, 0.5, 0.5, 0.5], "c") for i in range(200)] + [(1000 + i, rng.normal(size=4).tolist(), "c") for i in range(300)]
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 20)
     monkeypatch.setattr(neighbours, "POST_BLOCK", 40)
-    r = neighbours.nearest(frame(spark, rows), "id", "v", k=5, dim=4, pivots=16, post=16).collect()
+    r = neighbours.nearest(frame(spark, rows), "id", "v", k=5, dim=4, pivots=1, post=16, probe=8).collect()
     by = {}
     for x in r:
         by.setdefault(x.uid, {})[x.neighbour] = x.cosine
@@ -60,15 +60,29 @@ def test_many_copies_and_split_files(spark, monkeypatch):
     assert np.mean(near) > 0.97
 
 
-def test_footrule_cut_keeps_the_best():
+def test_only_the_least_footrule_is_reranked():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(50, 8)).astype(np.float32)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    w = np.zeros((50, 10), np.uint8)
-    for i, o in enumerate(np.argsort(-x @ x[:10].T, axis=1)[:, :4]):
-        w[i, o] = [4, 3, 2, 1]
-    best, how = neighbours.block(x[:5], x, w[:5], np.ascontiguousarray(w.T), np.arange(5), 3, 10)
-    assert all(i not in b and len(set(b)) == 3 for i, b in enumerate(best.tolist())) and (np.diff(how, axis=1) <= 0).all()
+    w = neighbours.orders(x, x[:64])
+    apart = np.bitwise_count(w[:5, None, :] ^ w[None]).sum(2).astype(int)
+    best, how = neighbours.ranked(x[:5], x, w[:5], w, np.arange(300) == np.arange(5)[:, None], 3, 40)
+    for i in range(5):
+        least = np.sort(np.delete(apart[i], i))[38]
+        assert i not in best[i] and len(set(best[i])) == 3 and (apart[i][best[i]] <= least + 1).all() and (np.diff(how[i]) <= 0).all()
+
+
+def test_recall_in_even_clusters(spark):
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(40, 64))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = c[rng.integers(0, 40, 6000)] + 0.35 * rng.normal(size=(6000, 64)) / 8
+    best, _ = exact(x, 10)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    got = {}
+    for r in neighbours.nearest(df, "id", "v").collect():
+        got.setdefault(r.uid, set()).add(r.neighbour)
+    assert np.mean([len(got[i] & set(best[i].tolist())) for i in range(6000)]) >= 9
 
 
 def similarity(a, b, k=3):
