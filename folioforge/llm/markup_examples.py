@@ -1,4 +1,4 @@
-"""A small labelled table of texts: one label for each line that isn't blank, 1 if it holds markup."""
+"""A small labelled table of texts: one label for each line that isn't blank, 1 if it holds markup, 2 if it is a list of links."""
 
 EXAMPLES = [
     ("The meeting was moved to Tuesday.\nAll rooms are booked until noon.", "00"),
@@ -108,4 +108,20 @@ EXAMPLES = [
     ("Fill {name} and {{name|x=2}}", "1"),
     ("3 * 4 and *five* times", "1"),
     ("~20 and ~~30~~ days", "1"),
+    ("[Home](/) [News](/news) [Contact](/contact)\n[Products](/p) [Prices](/c)\n[Imprint](/i)", "222"),
+    ("- [Start](/a)\n- [Plans](/b)\n- [Staff](/c)\n- [Help](/d)", "2222"),
+    ("[[Main page]] | [[Help]] | [[Contents]]\n[[Recent changes]] | [[Upload]]", "22"),
+    ('<li><a href="/a">Home</a></li>\n<li><a href="/b">Our rooms</a></li>\n<li><a href="/c">Prices</a></li>', "222"),
+    ('<a href="/">Home</a> <a href="/x">Archive</a> <a href="/y">Log in</a>\n<a href="/z">Terms of use</a>', "22"),
+    ("[Back](/back) [Next](/next) [Up](/up)\n[Print](/print)", "22"),
+    ("[Home](/) [News](/news) [Contact](/contact)", "2"),
+    ("[[Start]] [[Index]] [[Search]] [[About us]]", "2"),
+    ("The plan is in [the guide](/guide), which everyone should read before the first day of the new year.", "1"),
+    ("Ask [Ann](/ann) or [Ben](/ben) about the keys, and bring the old badge along when you come to the desk.", "1"),
+    ("See [[Main page]] for all of the rules that hold in this house and for the names of those who wrote them.", "1"),
+    ('The <a href="/plan">plan of the year</a> was sent to all teams, who have two weeks to answer in writing.', "1"),
+    ("[The report](/report)", "1"),
+    ("[[The minutes]]", "1"),
+    ('<a href="/list">The list of names</a>', "1"),
+    ("https://firm.example/a\nhttps://firm.example/b\nhttps://firm.example/c", "000"),
 ]

@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings, strategies as st
 
@@ -68,11 +69,44 @@ def test_cleaning_keeps_structure():
     assert markup.clean("|a|b|\n|---|---|\n|1|2|") == "a\tb\n1\t2"
     assert markup.clean("```py\nx = **y**\n```").strip("\n") == "    x = **y**"
     assert markup.clean("== H ==\n[[A|b]] {{c|d}}''e''") == "## H\nb e"
-    assert markup.clean("\\section{S}\n\\textbf{a}~\\cite{k} $x^2$ \\frac{1}{2}\n\\begin{itemize}\n\\item b\n\\end{itemize}") .split("\n") == ["# S", "", "a x^2 (1)/(2)", "", "- b"]
+    assert markup.clean("\\section{S}\n\\textbf{a}~\\cite{k} $x^2$ \\frac{1}{2}\n\\begin{itemize}\n\\item b\n\\end{itemize}") .split("\n") == ["# S", "", "a x^2 \\frac{1}{2}", "", "- b"]
 
 
 def test_cleaned_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<b>a</b>", "x"), (4, "plain", "x")], "item long, text string, clean_text string")
+    assert "navigation_blocks" in markup.cleaned(df, ["item"], "text").columns
     r = {x.item: (x.markup_blocks, x.clean_text) for x in markup.cleaned(df, ["item"], "text").collect()}
     assert r == {1: (0, None), 2: (0, ""), 3: (1, "a"), 4: (0, "plain")}
     assert markup.cleaned(df.limit(0), ["item"], "text").count() == 0
+
+
+def classes(text):
+    return markup.train().predict(markup.blocks(text)[1]).tolist()
+
+
+def test_navigation_is_decided_by_links_and_neighbours():
+    assert {"links", "links before", "links after"} & markup.train().features()
+    menu = "[Rooms](/r) [Tickets](/t) [Opening hours](/o)\n[Jobs](/j) [Press](/p)"
+    prose = "The house opens at nine, as [the list](/o) says, and nobody has to book a place for the first floor."
+    assert classes(menu) == [2, 2] and classes(prose) == [1]
+    assert classes(f"{prose}\n{menu}\nNothing else was said.") == [1, 2, 2, 0]
+    r = markup.clean(menu, {0, 1})
+    assert r == "- Rooms\n- Tickets\n- Opening hours\n- Jobs\n- Press"
+
+
+def test_code_escapes_numbers_and_formulas_are_kept():
+    assert markup.clean("```\na  =  1\n\n\n\nb\n```\nx  y **z**") == "    a  =  1\n    \n    \n    \n    b\n\nx y z"
+    assert markup.clean("<p>Write &lt;b&gt; here</p>") == "Write <b> here"
+    assert markup.clean("<ol><li>a</li><li>b<ul><li>c</li></ul></li></ol>").split() == ["1.", "a", "2.", "b", "-", "c"]
+    assert markup.clean("**so** $\\frac{1}{2} * x_1$") == "so \\frac{1}{2} * x_1"
+    assert markup.clean("a {{b|{{c}} d}} e {{f") == "a  e {{f".replace("  ", " ")
+    assert markup.clean("\x005\x00 <b>a</b>") == "5 a"
+
+
+def test_long_lines_of_marks_take_linear_time():
+    for x in ("[[", "{{", "<!--", "\\a[", "`", "$x", "*a ", "\\(", "{code:x}", "<pre>", " ", "-", "=", "| ", "<a>"):
+        t = time.time()
+        text = x * (200_000 // len(x)) + "x"
+        markup.blocks(text)
+        markup.clean(text)
+        assert time.time() - t < 5, x
