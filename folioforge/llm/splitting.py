@@ -4,7 +4,7 @@ A text is a tree: headings of each level, blocks parted by blank lines (with fen
 code and lists kept together), lines, sentences, words and, within words too long, stretches of
 characters. Every node is a span and its children part it without a gap, so nothing is
 lost. Sibling subtrees are merged bottom-up while they fit; only a node above the limit is
-descended into. A piece after the first begins with the last ``overlap`` tokens of the text before
+descended into, and its pieces are not merged with its siblings. A heading stays with what follows it. A piece after the first begins with the last ``overlap`` tokens of the text before
 it, fewer only where the piece before is shorter.
 
 The size of a text is the number of tokens: a run of characters other than blank, tab, CR, LF
@@ -61,55 +61,88 @@ class Sizes:
         return n
 
 
-def _sections(text: str, a: int, b: int, fences: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(begin, level) of the headings of a span."""
+class _Fences:
+    """Whether a place lies within fenced code, in logarithmic time."""
+
+    def __init__(self, text: str) -> None:
+        spans = [m.span() for m in _FENCE.finditer(text)]
+        self.begin, self.end = [a for a, _ in spans], [b for _, b in spans]
+
+    def __call__(self, p: int, inner: bool = False) -> bool:
+        """inner: the place before a fence's first character isn't within it."""
+        i = (bisect_left if inner else bisect_right)(self.begin, p) - 1
+        return i >= 0 and p < self.end[i]
+
+
+def _sections(text: str, a: int, b: int, fences: _Fences) -> list[tuple[int, int, int]]:
+    """(begin, end, level) of the headings of a span."""
     out = []
     for m in _HEADING.finditer(text, a, b):
-        out.append((m.start(), len(m.group(1) or m.group(2))))
+        out.append((m.start(), m.end(), len(m.group(1) or m.group(2))))
     for m in _UNDERLINED.finditer(text, a, b):
-        out.append((m.start(), 1 if m.group(1)[0] == "=" else 2))
-    return sorted((p, n) for p, n in out if not any(x <= p < y for x, y in fences))
+        out.append((m.start(), m.end(), 1 if m.group(1)[0] == "=" else 2))
+    return sorted(h for h in out if not fences(h[0]))
 
 
-def _cut(pattern: re.Pattern, text: str, a: int, b: int, fences: list[tuple[int, int]] = []) -> list[tuple[int, int]]:
+def _opening(text: str, a: int, heads: list[tuple[int, int, int]]) -> int:
+    """The end of the headings that a span opens with, with nothing but white space before, between and after them; its begin if there are none."""
+    at = a
+    for p, end, _ in heads:
+        if text[at:p].strip():
+            break
+        at = end
+    return at
+
+
+def _cut(pattern: re.Pattern, text: str, a: int, b: int, after: int, fences: _Fences | None) -> list[tuple[int, int]]:
     points = [a]
     for m in pattern.finditer(text, a, b):
         p = m.end()
-        if points[-1] < p < b and not any(x < p < y for x, y in fences):
+        if points[-1] < p < b and text[after:p].strip() and not (fences and fences(p, True)):
             points.append(p)
+            after = p - 1 if after < p - 1 else after
     points.append(b)
     return list(zip(points, points[1:]))
 
 
-def children(text: str, a: int, b: int, level: int, fences: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
-    """The next finer division of a span that has more than one part, and the level below it."""
+def children(text: str, a: int, b: int, level: int, fences: _Fences) -> tuple[list[tuple[int, int]], int]:
+    """The next finer division of a span that has more than one part, and the level below it.
+
+    The headings that a span opens with stay with what follows them, but for those too long for that.
+    """
+    heads = _sections(text, a, b, fences)
+    opening = _opening(text, a, heads)
     while level < 7:
         if level == 0:
-            heads = [(p, n) for p, n in _sections(text, a, b, fences) if p > a]
-            if heads:
-                top = min(n for _, n in heads)
-                points = [a, *(p for p, n in heads if n == top), b]
+            inner = [(p, n) for p, _, n in heads if p > a and p >= opening and text[opening:p].strip()] if opening > a else [(p, n) for p, _, n in heads if p > a]
+            if inner:
+                top = min(n for _, n in inner)
+                points = [a, *(p for p, n in inner if n == top), b]
                 return list(zip(points, points[1:])), 0
         else:
-            parts = _cut((_BLANK, _LIST, _LINE, _SENTENCE, _CLAUSE, _WORD)[level - 1], text, a, b, fences if level < 4 else [])
+            parts = _cut((_BLANK, _LIST, _LINE, _SENTENCE, _CLAUSE, _WORD)[level - 1], text, a, b, opening if level < 5 and opening > a else a, fences if level < 4 else None)
             if len(parts) > 1:
                 return parts, level
         level += 1
     return [(p, min(p + 8, b)) for p in range(a, b, 8)], 7
 
 
-def pack(text: str, limit: int, size: Sizes, a: int, b: int, level: int, fences: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans within the limit that part [a, b): children's packings, neighbours merged while they fit."""
+def pack(text: str, limit: int, size: Sizes, a: int, b: int, level: int, fences: _Fences) -> list[tuple[int, int]]:
+    """Spans within the limit that part [a, b): whole siblings merged while they fit; what an oversized one is parted into stands apart from its siblings."""
     if size(a, b) <= limit:
         return [(a, b)]
     parts, below = children(text, a, b, level, fences)
     out: list[tuple[int, int]] = []
+    whole = False
     for x, y in parts:
-        for u, v in pack(text, limit, size, x, y, below, fences) if size(x, y) > limit else [(x, y)]:
-            if out and size(out[-1][0], v) <= limit:
-                out[-1] = (out[-1][0], v)
-            else:
-                out.append((u, v))
+        if size(x, y) > limit:
+            out += pack(text, limit, size, x, y, below, fences)
+            whole = False
+        elif whole and size(out[-1][0], y) <= limit:
+            out[-1] = (out[-1][0], y)
+        else:
+            out.append((x, y))
+            whole = True
     return out
 
 
@@ -120,7 +153,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     size = Sizes(text)
     if size(0, len(text)) <= limit:
         return [(0, 0, len(text))]
-    fences = [m.span() for m in _FENCE.finditer(text)]
+    fences = _Fences(text)
     # room for the overlap; its last token may be part of a longer run
     spans = pack(text, max(1, limit - overlap), size, 0, len(text), 0, fences)
     out = [(spans[0][0], spans[0][0], spans[0][1])]

@@ -36,6 +36,19 @@ def test_cuts_at_headings_then_blocks():
     assert any(t.count("```") == 2 for t in (code[a:b] for a, _, b in splitting.pieces(code, 22, 0)))
 
 
+def test_headings_stay_with_their_sections_and_leftovers_apart():
+    cut = lambda t, n: [t[a:b] for a, _, b in splitting.pieces(t, n, 0)]
+    long = "one two three. " * 12
+    assert all(x.strip() not in ("# A", "# A\n\n## B", "T\n===") for head in ("# A\n", "# A\n\n", "# A\n\n## B\n\n", "T\n===\n") for x in cut(head + long, 20))
+    p = cut(f"# A\n\n{long}\n\n# B\n\nfour five", 20)
+    assert p[-1] == "# B\n\nfour five" and all("# B" not in x for x in p[:-1])
+    assert cut("# A\n\na b\n\n# B\n\nc d\n\n# C\n\n" + long, 12)[0] == "# A\n\na b\n\n# B\n\nc d\n\n"
+    assert max(map(size, cut("# " + "word " * 50, 10))) <= 10
+    t = time.time()
+    cut("```\na\n\nb\n```\nx y z\n\n" * 20_000, 100)
+    assert time.time() - t < 20
+
+
 def test_overlap_is_exact_where_the_piece_before_is_long():
     t = " ".join(f"w{i}" for i in range(300))
     p = splitting.pieces(t, 40, 7)
