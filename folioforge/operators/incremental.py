@@ -13,12 +13,13 @@ Defined cases: null sequence numbers are left out; repeated ones count once; an
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from folioforge.operators.commits import Commits
+
 #: Sequence numbers of one bucket.
 SPAN = 65_536
 
@@ -72,62 +73,50 @@ class IncrementalRun:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def commits(self) -> list[dict]:
-        """The committed runs in order."""
-        at = self._path(f"{self.folder}/_commits")
-        if not self._fs.exists(at):
-            return []
-        names = sorted(f.getPath().toString() for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json"))
-        return [json.loads(self.spark.sparkContext.wholeTextFiles(p).first()[1]) for p in names[-1:]]
+        self.commits = Commits(spark, f"{self.folder}/_commits")
 
     def state(self) -> DataFrame:
-        last = self.commits()
+        last = self.commits.last()
         if not last:
             return self.spark.createDataFrame([], "bucket long, lo long, hi long")
-        return self.spark.read.schema("bucket long, lo long, hi long").parquet(f"{self.folder}/{last[-1]['run']}/intervals")
+        return self.spark.read.schema("bucket long, lo long, hi long").parquet(f"{self.folder}/{last['run']}/intervals")
+
+    def adopt(self, done: DataFrame) -> str:
+        """Commits intervals that were processed before there was a log, as the first run without output."""
+        run = f"run-{1:08d}-{uuid.uuid4().hex[:8]}"
+        done.select("bucket", "lo", "hi").write.parquet(f"{self.folder}/{run}/intervals")
+        self.commits.claim(1, {"run": run, "output": False})
+        return run
 
     def run(self, source: DataFrame, column: str, process: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None = None) -> str | None:
         """Processes the rows of ``source`` whose number isn't processed; the name of the run, None if there was nothing."""
+        last = self.commits.last()
         done = self.state()
-        gaps = subtract(source, column, done)
-        if not gaps.limit(1).count():
-            return None
-        last = self.commits()
-        number = (last[-1]["number"] + 1) if last else 1
+        number = last["number"] + 1 if last else 1
         run = f"run-{number:08d}-{uuid.uuid4().hex[:8]}"
-        gaps.write.parquet(f"{self.folder}/{run}/gaps")
+        subtract(source, column, done).write.parquet(f"{self.folder}/{run}/gaps")
         gaps = self.spark.read.parquet(f"{self.folder}/{run}/gaps")
+        if not gaps.limit(1).count():
+            self.commits.remove(f"{self.folder}/{run}")
+            return None
         process(source.join(gaps, column, "left_semi")).write.parquet(f"{self.folder}/{run}/output")
         merge(done, intervals(gaps, column)).write.parquet(f"{self.folder}/{run}/intervals")
         if before_commit:
             before_commit()
-        self._commit(number, run)
+        self.commits.claim(number, {"run": run, "output": True})
         return run
 
-    def _commit(self, number: int, run: str) -> None:
-        """The commit file appears whole or not at all, and only one run gets a number."""
-        target = self._path(f"{self.folder}/_commits/{number:08d}.json")
-        self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target):
-            raise RuntimeError(f"run {number} was committed by another writer")
-        draft = self._path(f"{self.folder}/_commits/.{run}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps({"number": number, "run": run}).encode()))
-        out.close()
-        if not self._fs.rename(draft, target):
-            raise RuntimeError(f"run {number} was committed by another writer")
-
-    def output(self) -> DataFrame | None:
-        """The output of all committed runs."""
-        at = self._path(f"{self.folder}/_commits")
-        if not self._fs.exists(at):
-            return None
-        runs = [json.loads(self.spark.sparkContext.wholeTextFiles(f.getPath().toString()).first()[1])["run"] for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json")]
-        return self.spark.read.parquet(*(f"{self.folder}/{r}/output" for r in sorted(runs)))
+    def output(self, run: str | None = None) -> DataFrame | None:
+        """The output of all committed runs, or of one."""
+        runs = [c["run"] for c in self.commits.all() if c["output"] and run in (None, c["run"])]
+        return self.spark.read.parquet(*(f"{self.folder}/{r}/output" for r in runs)) if runs else None
+
+    def vacuum(self) -> None:
+        """Removes what runs that were never committed have left; only while no run is under way."""
+        kept = {c["run"] for c in self.commits.all()}
+        for name in self.commits.folders(self.folder):
+            if name.startswith("run-") and name not in kept:
+                self.commits.remove(f"{self.folder}/{name}")
 
 
 def current_deliveries(deliveries: DataFrame, key: str = "document_id") -> DataFrame:
@@ -137,7 +126,7 @@ def current_deliveries(deliveries: DataFrame, key: str = "document_id") -> DataF
 
 
 def is_case(delivery: str = "d", record: str = "r") -> Column:
-    """Whether the current delivery is new or changed against its record."""
+    """Whether a delivery is new or changed against its document's record."""
     c = lambda a, n: F.col(f"{a}.{n}")
     norm = lambda x: F.lower(F.trim(x))
     dated = c(delivery, "doc_updated_at").isNotNull() & c(record, "doc_updated_at").isNotNull()
@@ -146,18 +135,26 @@ def is_case(delivery: str = "d", record: str = "r") -> Column:
     return F.when(c(record, "document_id").isNull() | c(record, "last_indexed_at").isNull(), True).when(dated, later).otherwise(changed)
 
 
-def to_process(deliveries: DataFrame, records: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """(document_id, delivery_id): the deliveries in the gaps of what is processed.
+def settled(deliveries: DataFrame, records: DataFrame) -> DataFrame:
+    """(bucket, lo, hi): the deliveries, current or not, that the records show to be processed, as intervals.
+
+    This is how runs that kept no intervals, failed ones that finished some documents included, hand over their state.
+    """
+    one = deliveries.where("document_id is not null and delivery_id is not null").alias("d")
+    open_ = one.join(records.alias("r"), F.col("d.document_id") == F.col("r.document_id"), "left").select("d.delivery_id", is_case().alias("open"))
+    return intervals(open_.where("not open").select("delivery_id"), "delivery_id", among=one.select("delivery_id"))
+
+
+def to_process(deliveries: DataFrame, records: DataFrame, folder: str, state: DataFrame | None = None) -> DataFrame:
+    """(document_id, delivery_id): the current deliveries in the gaps of what is processed, as the output of one run in ``folder``.
 
-    Processed are the committed intervals of ``state`` and, so that a run may follow others that kept no
-    intervals, every delivery that the records show to be settled: superseded ones, and current ones
-    that are neither new nor changed.
+    A folder without commits adopts what the records show to be settled, or ``state``. Superseded deliveries in the gaps are
+    processed to nothing and committed with the rest. Deliveries without document or number are left out.
     """
-    current = current_deliveries(deliveries).alias("d").join(records.alias("r"), F.col("d.document_id") == F.col("r.document_id"), "left").select("d.document_id", "d.delivery_id", is_case().alias("open"))
-    available = deliveries.where("document_id is not null").select("delivery_id")
-    settled = available.join(current.where("open").select("delivery_id"), "delivery_id", "left_anti")
-    done = intervals(settled, "delivery_id", among=available)
-    if state is not None:
-        done = merge(done, state)
-    gaps = subtract(available, "delivery_id", done)
-    return current.join(gaps, "delivery_id", "left_semi").select("document_id", "delivery_id")
+    run = IncrementalRun(deliveries.sparkSession, folder)
+    if run.commits.last() is None:
+        run.adopt(settled(deliveries, records) if state is None else state)
+    good = deliveries.where("document_id is not null and delivery_id is not null")
+    current = current_deliveries(good).select("document_id", "delivery_id")
+    done = run.run(good.select("delivery_id"), "delivery_id", lambda gaps: current.join(gaps, "delivery_id", "left_semi").select("document_id", "delivery_id"))
+    return run.output(done) if done else deliveries.sparkSession.createDataFrame([], current.schema)

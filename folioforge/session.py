@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -55,15 +53,14 @@ def local_path(path: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
-_written: list[str] = []
-
-
-@atexit.register
-def _clear() -> None:
-    """Results are read lazily, so that what `cut` wrote is removed when the driver's process ends."""
-    for p in _written:
-        if (plain := local_path(p)) and os.path.isdir(plain):
-            shutil.rmtree(plain, ignore_errors=True)
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, removed on any file system when the driver's JVM ends; results are read lazily until then."""
+    out = f"{shared_dir(spark).rstrip('/')}/{label}_{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return out
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -73,19 +70,20 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     keep later column pruning.
     """
     spark = df.sparkSession
-    out = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _written.append(out)
+    out = shared_folder(spark, label) + "/data"
     df.write.option("compression", "zstd").parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
 def cut_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
-    """As `cut`, as a table in buckets by a key, so that later joins and aggregations on it shuffle only the other side."""
+    """As `cut`, as a table in buckets by a key, so that later joins and aggregations on it shuffle only the other side.
+
+    The table's name lives in the session's catalogue; with one that outlasts the session, drop it as its files go.
+    """
     spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
+    out = shared_folder(spark, label)
+    name, out = out.rpartition("/")[2], out + "/data"
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = f"{shared_dir(spark).rstrip('/')}/{name}"
-    _written.append(out)
     df.repartition(n, key).write.option("compression", "zstd").option("path", out).bucketBy(n, key).saveAsTable(name)
     return spark.table(name)
 

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from folioforge.operators import queries_incremental
 from folioforge.plans import catalogue
 
-QUERIES = {**catalogue.QUERIES, "p5_found": queries_incremental.p5_found}
+QUERIES = {**catalogue.QUERIES, **queries_incremental.QUERIES}
 SQL = {**catalogue.SQL, **queries_incremental.SQL}
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import incremental, ingest
+from folioforge.operators.commits import Commits, Conflict
 from folioforge.operators.incremental import IncrementalRun
 from folioforge.streaming.ingest import Ingest
 
@@ -48,7 +49,7 @@ DELIVERY = "delivery_id long, document_id string, doc_updated_at timestamp, rece
 RECORD = "document_id string, doc_updated_at timestamp, content_hash string, last_indexed_at timestamp, extra string"
 
 
-def test_what_is_to_process(spark):
+def test_what_is_to_process(spark, tmp_path):
     t = lambda s: F.lit(s).cast("timestamp")
     d = spark.createDataFrame([], DELIVERY)
     rows = [(1, "new", None, "h"), (2, "same", "2030-01-01", "x"), (3, "later", "2030-01-02", "x"), (4, "sub", "2030-01-01 00:00:00.9", "y"), (5, "undated", None, " ABC "), (6, "undated2", None, "z"), (7, "never", "2030-01-01", "h"), (8, "nohash", None, "h"), (9, None, None, "h")]
@@ -58,10 +59,21 @@ def test_what_is_to_process(spark):
     r = spark.createDataFrame([], RECORD)
     for k, at, h, seen in [("same", "2030-01-01", "o", "2030-02-01"), ("later", "2030-01-01", "x", "2030-02-01"), ("sub", "2030-01-01", "o", "2030-02-01"), ("undated", "2030-01-01", "abc", "2030-02-01"), ("undated2", None, "q", "2030-02-01"), ("never", "2030-01-01", "h", None), ("nohash", None, None, "2030-02-01")]:
         r = r.unionByName(spark.range(1).select(F.lit(k).alias("document_id"), t(at).alias("doc_updated_at"), F.lit(h).cast("string").alias("content_hash"), t(seen).alias("last_indexed_at"), F.lit("e").alias("extra")))
-    assert sorted(x.document_id for x in incremental.to_process(d, r).collect()) == ["later", "never", "new", "nohash", "undated2"]
-    state = incremental.intervals(nums(spark, [1, 3]), "n")
-    assert sorted(x.document_id for x in incremental.to_process(d, r, state).collect()) == ["never", "nohash", "undated2"]
-    assert incremental.to_process(d.limit(0), r).count() == 0
+    assert sorted(x.document_id for x in incremental.to_process(d, r, str(tmp_path / "a")).collect()) == ["later", "never", "new", "nohash", "undated2"]
+    assert incremental.to_process(d, r, str(tmp_path / "a")).count() == 0  # committed with the output
+    state = incremental.intervals(nums(spark, [1, 3, 2, 4, 5]), "n")
+    assert sorted(x.document_id for x in incremental.to_process(d, r, str(tmp_path / "b"), state).collect()) == ["never", "nohash", "undated2"]
+    assert incremental.to_process(d.limit(0), r, str(tmp_path / "c")).count() == 0
+
+
+def test_a_commit_is_claimed_once(spark, tmp_path):
+    c = Commits(spark, str(tmp_path / "log"))
+    assert c.last() is None and c.all() == []
+    c.claim(1, {"a": 1})
+    with pytest.raises(Conflict):
+        c.claim(1, {"a": 2})
+    c.claim(2, {"a": 3})
+    assert [x["a"] for x in c.all()] == [1, 3] and c.last() == {"a": 3, "number": 2}
 
 
 def test_snapshots(spark, tmp_path):
