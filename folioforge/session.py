@@ -91,7 +91,4 @@ def cut_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
 def shared_file(spark: SparkSession, label: str, suffix: str = "") -> str | None:
     """A new file name on the shared folder if it is mounted on every host, else None."""
     base = local_path(shared_dir(spark))
-    if base is None:
-        return None
-    os.makedirs(base, exist_ok=True)
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}{suffix}")
+    return None if base is None else os.path.join(local_path(shared_folder(spark, label)), label + suffix)
