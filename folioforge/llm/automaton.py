@@ -71,12 +71,13 @@ class Transducer:
         table = np.array(rows, np.int64).reshape(-1, 3)
         return cls(table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), flags, offsets, np.array([i for x in lists for i in x], np.int32))
 
+    def dump(self) -> bytes:
+        parts = [self.arc_key, self.arc_to, self.arc_add, self.final, self.offsets, self.ids]
+        return np.concatenate([np.array([_MAGIC, *(len(p) for p in parts)], np.int64), *(p.astype(np.int64) for p in parts)]).tobytes()
+
     def save(self, path: str) -> None:
-        parts = [self.arc_key, self.arc_to, self.arc_add, self.final.astype(np.int64), self.offsets, self.ids.astype(np.int64)]
         with open(path, "wb") as f:
-            np.array([_MAGIC, *(len(p) for p in parts)], np.int64).tofile(f)
-            for p in parts:
-                p.astype(np.int64).tofile(f)
+            f.write(self.dump())
 
     @classmethod
     def open(cls, path: str) -> "Transducer":

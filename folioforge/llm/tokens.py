@@ -15,7 +15,9 @@ are ordinary text; texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import functools
 import unicodedata
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from folioforge.llm.automaton import Transducer
-from folioforge.session import cut, shared_file
+from folioforge.session import cut, shared_file, shared_folder
 
 #: Default place of the vocabulary files; a parameter everywhere below.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -226,6 +228,12 @@ def worker_encoder(vocabulary: str, lexicon: str | None) -> Encoder:
     return _workers[key]
 
 
+@functools.cache
+def worker_splitter() -> Splitter:
+    """One splitter for each Python worker; its tables take a while to fill."""
+    return Splitter()
+
+
 def vocabulary_file(tokenizer: str, tokenizer_dir: str = TOKENIZER_DIR) -> str:
     return f"{tokenizer_dir}/{tokenizer}.tiktoken"
 
@@ -234,7 +242,7 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """(word BINARY, n BIGINT): how often each pre-token occurs in all rows; counted in each task before the shuffle."""
 
     def count(batches):
-        splitter = Splitter()
+        splitter = worker_splitter()
         words: dict[int, bytes] = {}
         numbers: dict[int, int] = {}
 
@@ -289,11 +297,15 @@ def build_lexicon(texts: DataFrame, column: str, vocabulary: str, lexicon_size:
     if path:
         made.save(path)
         return path
-    import tempfile
-
-    made.save(local := tempfile.mkstemp(suffix=".lexicon")[1])
-    spark.sparkContext.addFile(local)
-    return "files:" + local.rsplit("/", 1)[1]
+    # Spark brings a file of the shared folder to every executor
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_folder(spark, 'lexicon')}/lexicon-{uuid.uuid4().hex}"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    out.write(bytearray(made.dump()))
+    out.close()
+    spark.sparkContext.addFile(path)
+    return "files:" + path.rsplit("/", 1)[1]
 
 
 def _resolved(lexicon: str | None) -> str | None:

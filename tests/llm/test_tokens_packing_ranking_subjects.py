@@ -67,13 +67,15 @@ def check(sizes, capacity, rows):
     return len([v for v in fill.values() if v])
 
 
-@pytest.mark.parametrize("bucket", [100_000, 7])
-def test_containers(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, sent", [(100_000, 10**6), (7, 10**6), (100_000, 0)])
+def test_containers(spark, monkeypatch, bucket, sent):
     monkeypatch.setattr(packing, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(packing, "RULES_SENT", sent)
     rng = random.Random(3)
     sizes = {i: rng.choice([rng.randint(1, 100), 37, 37, 250, None, 0]) for i in range(600)}
     df = spark.createDataFrame([(k, v, "clash") for k, v in sizes.items()], "k long, n long, piece string")
     rows = [tuple(r) for r in packing.containers(df, "k", "n", 100).collect()]
+    assert all((c is None) == (size == 0) for _, _, _, size, c in rows)
     used = check(sizes, 100, rows)
     total = sum(v or 0 for v in sizes.values())
     assert used <= -(-total // 100) * 1.15
@@ -104,7 +106,7 @@ HIT = "qid string, score_kind string, chunk_uid long, score double, returned_at
 def hits(spark, rows):
     import datetime as dt
 
-    return spark.createDataFrame([(q, k, c, s, dt.datetime(2030, 1, 1, 0, n), 1) for n, (q, k, c, s) in enumerate(rows)], HIT)
+    return spark.createDataFrame([(q, k, c, s, dt.datetime(2030, 1, 1, n // 60, n % 60), 1) for n, (q, k, c, s) in enumerate(rows)], HIT)
 
 
 def walk_by_matrix(rows, d=0.85):
@@ -125,6 +127,7 @@ def walk_by_matrix(rows, d=0.85):
 def test_walk_equals_the_dense_chain_both_ways(spark):
     rng = random.Random(2)
     rows = [("q", k, c, round(rng.random() * (1000 if k == "kw" else 1), 2)) for k in ("v", "t", "kw") for c in range(25) if rng.random() < 0.8]
+    rows += [("q", "ties", c, 1.0) for c in range(20)]
     rows += [("q", "v", 77, None), ("q", "v", 78, float("nan")), ("q", "kw", 3, rows[-1][3])]
     rows = list({(q, k, c): (q, k, c, s) for q, k, c, s in rows}.values())
     want = walk_by_matrix(rows)
