@@ -230,19 +230,30 @@ def bm25_filtered(spark, d):
 u AS (SELECT qid, chunk_uid, sum(score) AS score FROM (SELECT * FROM b UNION ALL SELECT qid, chunk_uid, 0.1::DOUBLE * score FROM t) GROUP BY ALL) SELECT qid, chunk_uid, round(score, 6) AS score FROM u {_TOP.format(10)}""")
 def bm25_boosted_fields(spark, d):
     c, q = chunks(spark, d), table(spark, d, "search_query")
-    u = lexical.bm25(c, "chunk_uid", "content", q).unionByName(lexical.bm25(c, "chunk_uid", "title", q, boost=0.1)).groupBy("qid", "chunk_uid").agg(F.sum("score").alias("score"))
-    return _shown(lexical.top(u, "chunk_uid", 10))
+    return _shown(lexical.top(lexical.TextIndex(c, "chunk_uid").scores(q, {"content": (1.0, 0.0), "title": (0.1, 0.0)}), "chunk_uid", 10))
 
 
-@query(f"""WITH {C}, w AS (SELECT qid, {SPLIT.format('query_text')} AS ws FROM search_query), q AS (SELECT qid, ws[2] AS a, ws[3] AS b FROM w WHERE ws[2] <> ws[3]),
-t AS (SELECT chunk_uid, {SPLIT.format('content')} AS terms FROM c), s AS (SELECT count(*) AS n, avg(len(terms)) AS av FROM t WHERE len(terms) > 0),
-x AS (SELECT chunk_uid, len(terms) AS l, unnest(terms) AS term, generate_subscripts(terms, 1) AS p FROM t), f AS (SELECT term, count(DISTINCT chunk_uid) AS df FROM x GROUP BY 1),
-g AS (SELECT qid, x.chunk_uid, x.l, count(*) FILTER (WHERE y.p = x.p + 1) AS e, count(*) FILTER (WHERE y.p = x.p + 2) AS o FROM q JOIN x ON x.term = q.a JOIN x y ON y.chunk_uid = x.chunk_uid AND y.term = q.b AND y.p IN (x.p + 1, x.p + 2) GROUP BY ALL),
-r AS (SELECT qid, chunk_uid, l, CASE WHEN e > 0 THEN e::DOUBLE ELSE o * 0.5::DOUBLE END AS fr, ln(1 + (n - f1.df + 0.5::DOUBLE) / (f1.df + 0.5::DOUBLE)) + ln(1 + (n - f2.df + 0.5::DOUBLE) / (f2.df + 0.5::DOUBLE)) AS idf, av FROM g JOIN q USING (qid) JOIN f f1 ON f1.term = q.a JOIN f f2 ON f2.term = q.b, s),
-b AS (SELECT qid, chunk_uid, idf * fr / (fr + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l / av)) AS score FROM r) SELECT qid, chunk_uid, round(score, 6) AS score FROM b {_TOP.format(20)}""")
+def _phrase_cte(name: str, text: str, q: str, base: str = "b", where: str = "true") -> str:
+    """Phrases with slop 1 of the queries q (qid, want): begins at which each term stands at its place or one further; ``base`` names the CTEs of `_bm25_cte` over the same text."""
+    at = lambda i, o: f"terms[k + {i} - 1 + {o}] = want[{i}]"
+    return f"""{name}_n AS (SELECT qid, want, len(list_distinct(want)) AS n FROM {q} WHERE len(want) > 0), {name}_w AS (SELECT DISTINCT qid, unnest(want) AS term FROM {name}_n),
+{name}_h AS (SELECT qid, chunk_uid, any_value(l) AS l, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS idf, count(*) AS held FROM {base}_p JOIN {name}_w USING (term) JOIN {base}_d USING (term), {base}_s GROUP BY 1, 2),
+{name}_f AS (SELECT h.qid, h.chunk_uid, h.l, h.idf, len(list_filter(range(1, l + 1), lambda k: list_bool_and(list_transform(range(1, len(want) + 1), lambda i: {at('i', 0)})))) AS e,
+  len(list_filter(range(1, l + 1), lambda k: list_bool_and(list_transform(range(1, len(want) + 1), lambda i: coalesce({at('i', 0)}, false) OR coalesce({at('i', 1)}, false))))) AS o
+  FROM {name}_h h JOIN {name}_n n ON n.qid = h.qid AND n.n = h.held JOIN {base}_t t ON t.chunk_uid = h.chunk_uid),
+{name} AS (SELECT qid, chunk_uid, idf * fr / (fr + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l / a)) AS score FROM (SELECT *, CASE WHEN e > 0 THEN e::DOUBLE ELSE o * 0.5::DOUBLE END AS fr FROM {name}_f), {base}_s WHERE fr > 0)"""
+
+
+_PHRASES = f"""ws AS (SELECT qid, {SPLIT.format('query_text')} AS w FROM search_query),
+pq AS (SELECT qid || '/' || i || '/' || n AS qid, w[i:i + n - 1] AS want FROM ws, range(1, 40) r(i), range(1, 4) m(n) WHERE i + n - 1 <= len(w))"""
+
+
+@query(f"WITH {C}, {_bm25_cte('b', 'content')}, {_PHRASES}, {_phrase_cte('f', 'content', 'pq')} SELECT qid, chunk_uid, round(score, 6) AS score FROM f {_TOP.format(20)}")
 def phrase_slop1(spark, d):
-    w = T.analyzed(F.col("query_text"))
-    q = table(spark, d, "search_query").select("qid", w.alias("w")).where("size(w) >= 3 and w[1] <> w[2]").select("qid", F.concat_ws(" ", F.col("w")[1], F.col("w")[2]).alias("query_text"))
+    """Every run of one, two and three words of every query."""
+    w = table(spark, d, "search_query").select("qid", T.analyzed(F.col("query_text")).alias("w"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w"))), lambda i: (i + n - 1 <= F.size("w")) & (i < 40)), lambda i: F.struct(i.alias("i"), n.alias("n")))))
+    q = w.select("qid", "w", F.explode(parts).alias("p")).select(F.concat_ws("/", "qid", F.col("p.i").cast("string"), F.col("p.n").cast("string")).alias("qid"), F.array_join(F.slice("w", F.col("p.i"), F.col("p.n")), " ").alias("query_text"))
     return _shown(lexical.top(lexical.phrases(chunks(spark, d), "chunk_uid", "content", q), "chunk_uid", 20))
 
 
@@ -396,9 +407,14 @@ def relevance_window(spark, d):
     return s.select("qid", "document_id", "position", F.array_min("w").alias("low"), F.array_max("w").alias("high"))
 
 
-@query(f"""WITH {_ADJ}, t AS (SELECT *, sum((last_chunk - first_chunk + 1) * 120 + 75) OVER (PARTITION BY qid ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM a) SELECT qid, document_id, position, CAST(used AS BIGINT) AS used FROM t WHERE used <= 3000""")
+@query(f"""WITH {_ADJ}, x AS (SELECT DISTINCT ON (document_id, chunk_index) document_id, chunk_index, content FROM document_chunk WHERE max_chunk_size = 512 AND {_H}),
+tx AS (SELECT qid, a.document_id, position, sum(coalesce(len(list_filter(string_split_regex(content, '[{SP}]+'), lambda w: w <> '')), 0)) AS n FROM a JOIN x ON x.document_id = a.document_id AND x.chunk_index BETWEEN first_chunk AND last_chunk GROUP BY ALL),
+t AS (SELECT *, sum(n + 75) OVER (PARTITION BY qid ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM tx) SELECT qid, document_id, position, CAST(used AS BIGINT) AS used FROM t WHERE used <= 3000""")
 def trim_by_tokens(spark, d):
-    a = merge_adjacent_sections(spark, d).withColumn("tokens", (F.col("last_chunk") - F.col("first_chunk") + 1) * 120 + DEFAULT.metadata_token_estimate)
+    """Sections with the token counts of their chunks' texts."""
+    c, a = table(spark, d, "document_chunk"), merge_adjacent_sections(spark, d)
+    texts = c.where("max_chunk_size = 512").select("document_id", "chunk_index", "content").dropDuplicates(["document_id", "chunk_index"])
+    a = sections.with_content(sections.expand(a, c, 0), texts).withColumn("tokens", T.n_words(F.col("content")) + DEFAULT.metadata_token_estimate)
     return sections.trim_by_tokens(a, "tokens", 3000).select("qid", "document_id", "position", "used")
 
 
@@ -431,11 +447,16 @@ def dedupe_gates(spark, d):
 _ACL2 = lambda t: _ACL.replace("external_access", f"{t}.external_access")
 
 
-@query(f"""WITH {_GATES} SELECT cur.document_id, coalesce(cur.external_access.is_public, true) AS public, array_to_string({_ACL2('cur')}, '|') AS entries FROM cur JOIN gates g ON g.document_id = cur.document_id AND NOT g.process JOIN document_record r ON r.document_id = cur.document_id
+@query(f"""WITH r AS (SELECT document_id, struct_pack(emails := list_append(coalesce(external_access.emails, []), 'late@corp.example'), "groups" := external_access.groups, is_public := external_access.is_public) AS external_access FROM document_record WHERE document_id[-1:] IN ('1', '4', 'a', 'e') UNION ALL BY NAME
+  SELECT document_id, struct_pack(emails := external_access.emails, "groups" := external_access.groups, is_public := external_access.is_public) AS external_access FROM document_record WHERE document_id[-1:] NOT IN ('1', '4', 'a', 'e')), {_CUR}
+SELECT cur.document_id, coalesce(cur.external_access.is_public, true) AS public, array_to_string({_ACL2('cur')}, '|') AS entries FROM cur JOIN r ON r.document_id = cur.document_id
 WHERE coalesce(cur.external_access.is_public, true) <> coalesce(r.external_access.is_public, true) OR {_ACL2('cur')} <> {_ACL2('r')}""")
 def access_changed(spark, d):
-    skipped = _current(spark, d).join(_gated(spark, d).where("not process").select("document_id"), "document_id", "left_semi")
-    return ingest.access_changed(skipped, table(spark, d, "document_record")).select("document_id", "public", F.array_join("access_control_list", "|").alias("entries"))
+    """All current deliveries against records of which some lost an address since."""
+    a = F.col("external_access")
+    more = F.concat(F.coalesce(a["emails"], F.array().cast("array<string>")), F.array(F.lit("late@corp.example")))
+    changed = F.when(F.right(F.col("document_id"), F.lit(1)).isin("1", "4", "a", "e"), F.struct(more.alias("emails"), a["groups"].alias("groups"), a["is_public"].alias("is_public"))).otherwise(a)
+    return ingest.access_changed(_current(spark, d), table(spark, d, "document_record").withColumn("external_access", changed)).select("document_id", "public", F.array_join("access_control_list", "|").alias("entries"))
 
 
 @query("SELECT DISTINCT d.document_id FROM ingest_document d WHERE NOT EXISTS (SELECT 1 FROM document_chunk c WHERE c.document_id = d.document_id) AND NOT EXISTS (SELECT 1 FROM document_record r WHERE r.document_id = d.document_id)")
@@ -498,9 +519,10 @@ def filter_documents(spark, d):
     return ingest.filter_documents(deliveries(spark, d), 2000).select("delivery_id", "outcome")
 
 
-@query("SELECT chunk_uid FROM (SELECT DISTINCT chunk_uid FROM document_chunk) ORDER BY md5(chunk_uid || '-7'), chunk_uid LIMIT 50")
+@query(f"SELECT chunk_uid FROM (SELECT DISTINCT chunk_uid FROM document_chunk WHERE {_H} AND coalesce(public, false)) ORDER BY md5(chunk_uid || '-7'), chunk_uid LIMIT 50")
 def random_sample(spark, d):
-    return ingest.random_rows(table(spark, d, "document_chunk").select("chunk_uid").distinct(), "chunk_uid", 50, 7)
+    """Of the chunks that may be seen."""
+    return ingest.random_rows(table(spark, d, "document_chunk").where(filters.predicate(Filters(access=[]))).select("chunk_uid").distinct(), "chunk_uid", 50, 7)
 
 
 @query(f"WITH {C} SELECT chunk_uid, document_id FROM c")
@@ -681,11 +703,34 @@ def event_windows(spark, d):
     return activity(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+def _hybrid_sql(where: str, n: int) -> str:
+    """CTEs up to ``hy`` (qid, chunk_uid, score): four lexical clauses and the content vector, their best 500 each, min-max and the mean."""
+    ok = lambda c: f"len({c}) = 64 AND list_bool_and(list_transform({c}, lambda x: isfinite(x))) AND list_bool_or(list_transform({c}, lambda x: x <> 0))"
+    stop = f"""list_filter(string_split_regex(query_text, '[{SP}]+'), lambda w: w <> '' AND lower(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}_'']+|[^\\p{{L}}\\p{{N}}_'']+$', '', 'g')) NOT IN ({_STOP}))"""
+    lex = lambda name, text: _bm25_cte(name, text).replace("FROM search_query", "FROM kq")
+    return f"""c AS (SELECT * FROM (SELECT DISTINCT ON (chunk_uid) * FROM document_chunk) WHERE {where}), kq AS (SELECT qid, CASE WHEN len({stop}) > 0 THEN array_to_string({stop}, ' ') ELSE query_text END AS query_text FROM search_query),
+kw AS (SELECT qid, {SPLIT.format('query_text')} AS want FROM kq), {lex('b', 'content')}, {lex('t', 'title')}, {_phrase_cte('bf', 'content', 'kw', 'b')}, {_phrase_cte('tf', 'title', 'kw', 't')},
+lx AS (SELECT qid, chunk_uid, sum(score) AS score FROM (SELECT * FROM b UNION ALL SELECT qid, chunk_uid, 0.1::DOUBLE * score FROM t UNION ALL SELECT qid, chunk_uid, 1.5::DOUBLE * score FROM bf UNION ALL SELECT qid, chunk_uid, 0.2::DOUBLE * score FROM tf) GROUP BY ALL),
+vx AS (SELECT qid, chunk_uid, (1 + list_dot_product(q, v) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(v, v))) / 2 AS score FROM (SELECT chunk_uid, content_vector::DOUBLE[] AS v FROM c WHERE {ok('content_vector')}), (SELECT qid, query_vector::DOUBLE[] AS q FROM search_query WHERE {ok('query_vector')})),
+ca AS (SELECT *, row_number() OVER (PARTITION BY qid, sub ORDER BY round(score, 9) DESC, chunk_uid) AS r FROM (SELECT *, 'k' AS sub FROM lx UNION ALL SELECT *, 'v' FROM vx)),
+mm AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ca WHERE r <= 500 WINDOW w AS (PARTITION BY qid, sub)),
+hs AS (SELECT qid, chunk_uid, sum(0.5::DOUBLE * CASE WHEN hi = lo THEN 1 ELSE greatest(0.001::DOUBLE, (score - lo) / (hi - lo)) END) AS score FROM mm GROUP BY ALL),
+hy AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_uid) AS rank FROM hs QUALIFY rank <= {n})"""
+
+
+@query(f"WITH {_hybrid_sql(_H, 50)} SELECT qid, chunk_uid, round(score, 6) AS score, rank FROM hy")
 def hybrid_search(spark, d):
     return plans.hybrid(chunks(spark, d), table(spark, d, "search_query")).select("qid", "chunk_uid", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f"""WITH {_hybrid_sql(_H + ' AND coalesce(public, false)', 50)}, rk AS (SELECT qid, document_id, chunk_index, min(rank) AS rank FROM hy JOIN c USING (chunk_uid) GROUP BY ALL),
+i AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY qid, document_id ORDER BY chunk_index) AS island FROM rk), a0 AS (SELECT qid, document_id, min(chunk_index) AS lo, max(chunk_index) AS hi, min(rank) AS cr FROM i GROUP BY qid, document_id, island),
+a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cr, document_id, lo) AS p FROM a0 QUALIFY p <= 50),
+n AS (SELECT qid, document_id, lo AS first_chunk, hi AS last_chunk, p AS position FROM a),
+x AS (SELECT DISTINCT ON (document_id, chunk_index) document_id, chunk_index, content FROM document_chunk WHERE max_chunk_size = 512 AND {_H}),
+tx AS (SELECT qid, n.document_id, position, first_chunk, last_chunk, string_agg(content, chr(10) || chr(10) ORDER BY x.chunk_index) AS content FROM n JOIN x ON x.document_id = n.document_id AND x.chunk_index BETWEEN first_chunk AND last_chunk GROUP BY ALL),
+u AS (SELECT *, sum(coalesce(len(list_filter(string_split_regex(content, '[{SP}]+'), lambda w: w <> '')), 0) + 75) OVER (PARTITION BY qid ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM tx),
+k AS (SELECT *, min(position) OVER (PARTITION BY qid, document_id) AS fp FROM u WHERE used <= 6000 AND position <= 25)
+SELECT qid, position, document_id, first_chunk, last_chunk, dense_rank() OVER (PARTITION BY qid ORDER BY fp) AS citation, content FROM k""")
 def search_sections(spark, d):
     return plans.search(chunks(spark, d), table(spark, d, "search_query"), Filters(access=[]), token_budget=6000).select("qid", "position", "document_id", "first_chunk", "last_chunk", "citation", "content")

@@ -1,7 +1,9 @@
-"""The search of a batch of queries from end to end: lexical and vector candidates, fusion, sections, budget, citations."""
+"""The search of a batch of queries from end to end: variants, lexical and vector candidates, fusion, sections, selection, expansion, budget, citations."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,16 +11,35 @@ from pyspark.sql import DataFrame, functions as F
 from folioforge.functions.text import keywords, n_words
 from folioforge.operators import fusion, lexical, sections, vectors
 from folioforge.operators.filters import Filters, predicate
+from folioforge.plans import models
 from folioforge.settings import DEFAULT, Settings
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(), alpha: float = 0.5, title: bool = False, normalization: str = "min_max", n: int = DEFAULT.hits, s: Settings = DEFAULT) -> DataFrame:
-    """(qid, chunk_uid, score, rank). queries: qid, query_text, query_vector. The filter comes before any ranking; alpha 0 is lexical only."""
+@dataclass(frozen=True)
+class Models:
+    """What a model may do in a search; without it, a step leaves things as they are."""
+
+    rephrase: models.Text | None = None
+    keywords: models.Text | None = None
+    select: models.Text | None = None
+    classify: models.Text | None = None
+    embedder: Callable = vectors.hash_embedding
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(), alpha: float = 0.5, title: bool = False, normalization: str = "min_max", n: int = DEFAULT.hits, s: Settings = DEFAULT, index: lexical.TextIndex | None = None) -> DataFrame:
+    """(qid, chunk_uid, score, rank). queries: qid, query_text, query_vector. The filter comes before any ranking; alpha 0 is lexical only.
+
+    index: stored postings of ``chunks``, whose statistics cover all of them; without one, the rows that the filter lets through are indexed for this search.
+    """
     rows = chunks.where(predicate(filters))
+    if index is None:
+        lexical_scores = lexical.TextIndex(rows, "chunk_uid").scores
+    else:
+        lexical_scores = lambda q: index.scores(q).join(rows.select("chunk_uid"), "chunk_uid", "left_semi")
     if alpha == 0:
-        return lexical.top(lexical.fields(rows, "chunk_uid", queries), "chunk_uid", n)
+        return lexical.top(lexical_scores(queries), "chunk_uid", n)
     q = queries.withColumn("query_text", keywords(F.col("query_text")))
-    words = lexical.top(lexical.fields(rows, "chunk_uid", q), "chunk_uid", s.candidates).withColumn("sub", F.lit("keyword"))
+    words = lexical.top(lexical_scores(q), "chunk_uid", s.candidates).withColumn("sub", F.lit("keyword"))
     lists = [words, vectors.knn(rows, "chunk_uid", "content_vector", queries, s.candidates, dim=s.dim).withColumn("sub", F.lit("content_vector"))]
     if title:
         lists.append(vectors.knn(rows, "chunk_uid", "title_vector", queries, s.candidates, dim=s.dim).withColumn("sub", F.lit("title_vector")))
@@ -27,13 +48,48 @@ def hybrid(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(),
     return fusion.top(fusion.weighted_mean(normed, "chunk_uid", s.title_weights if title else s.weights), "chunk_uid", n)
 
 
-def search(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(), token_budget: int = 0, s: Settings = DEFAULT) -> DataFrame:
-    """(qid, position, document_id, first_chunk, last_chunk, center_chunk, citation, content): the sections given to a model."""
-    hits = hybrid(chunks, queries, filters, s=s)
+def run_variants(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(), m: Models = Models(), s: Settings = DEFAULT, index: lexical.TextIndex | None = None) -> DataFrame:
+    """(qid, chunk_uid, score, rank): all variants of all queries in one job, fused by weighted reciprocal rank.
+
+    A query's own vector serves its own text; other variants are embedded. The score is that of the first list that holds the chunk.
+    """
+    expanded = models.expand_queries(queries.select("qid", F.col("query_text").alias("text")), m.rephrase, m.keywords)
+    v = fusion.weighted_variants(expanded).withColumn("variant", F.concat_ws("\u0001", "qid", F.col("order").cast("string")))
+    own = queries.select("qid", F.col("query_text").alias("_own"), "query_vector")
+    v = v.join(own, "qid")
+    same = v.where("text = _own").select("qid", "variant", "order", "weight", F.col("text").alias("query_text"), "query_vector")
+    other = vectors.embed(v.where("text <> _own").select("qid", "variant", "order", "weight", F.col("text").alias("query_text")), "query_text", "query_vector", s.dim, True, m.embedder)
+    asked = same if m.rephrase is None and m.keywords is None else same.unionByName(other)
+    hits = hybrid(chunks, asked.select(F.col("variant").alias("qid"), "query_text", "query_vector"), filters, s=s, index=index)
+    lists = hits.withColumnRenamed("qid", "variant").join(asked.select("variant", "qid", F.col("order").alias("list_idx"), "weight"), "variant")
+    fused = fusion.reciprocal_rank(lists, ["chunk_uid"], s.rrf_k).where(F.col("position") <= s.hits)
+    return fused.select("qid", "chunk_uid", "score", F.col("position").alias("rank"))
+
+
+def search(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(), token_budget: int = 0, s: Settings = DEFAULT, m: Models = Models(), index: lexical.TextIndex | None = None) -> DataFrame:
+    """(qid, position, document_id, first_chunk, last_chunk, center_chunk, citation, content): the sections given to a model.
+
+    Chunks of all variants become sections; a model may pick some within a budget of tokens and widen each; what overlaps then is one section.
+    """
+    hits = run_variants(chunks, queries, filters, m, s, index)
+    texts = chunks.where(F.col("max_chunk_size") == s.chunk_tokens).select("document_id", "chunk_index", "content").dropDuplicates(["document_id", "chunk_index"])
     named = hits.join(chunks.select("chunk_uid", "document_id", "chunk_index"), "chunk_uid").groupBy("qid", "document_id", "chunk_index").agg(F.min("rank").alias("rank"))
-    merged = sections.merge_adjacent(named).drop("center_rank", "chunks")
-    wide = sections.expand(merged, chunks, 0)
-    text = sections.with_content(wide, chunks.select("document_id", "chunk_index", "content").dropDuplicates(["document_id", "chunk_index"]))
-    full = merged.join(text, ["qid", "document_id", "position"])
+    merged = sections.merge_adjacent(named).where(F.col("position") <= s.hits)
+    if m.select is not None:
+        window = merged.withColumn("chunk_index", F.explode(sections.relevance_window(F.col("chunks"), F.col("center_chunk"), s.chunks_per_section)))
+        shown = sections.with_content(window.select("qid", "document_id", "position", "chunk_index"), texts)
+        budget = int(s.llm_sections * s.chunk_tokens * s.selection_slack)
+        within = sections.trim_by_tokens(shown.withColumn("tokens", n_words(F.col("content")) + s.metadata_token_estimate), "tokens", budget)
+        picked = models.select_sections(within.select("qid", "position", "content"), m.select, s.max_sections).select("qid", "position", "picked")
+        merged = merged.join(picked, ["qid", "position"]).drop("position").withColumnRenamed("picked", "position")
+    spans = merged.select("qid", "document_id", "first_chunk", "last_chunk", "center_chunk", "position")
+    if m.classify is not None:
+        with_text = spans.join(sections.with_content(sections.expand(spans, chunks, 0), texts), ["qid", "document_id", "position"])
+        wider = models.expand_relevant(with_text, chunks, m.classify)
+        reach = wider.groupBy("qid", "document_id", "position").agg(F.min("chunk_index").alias("_lo"), F.max("chunk_index").alias("_hi"))
+        spans = spans.join(reach, ["qid", "document_id", "position"], "left").withColumn("first_chunk", F.least("first_chunk", F.coalesce("_lo", "first_chunk"))).withColumn("last_chunk", F.greatest("last_chunk", F.coalesce("_hi", "last_chunk"))).drop("_lo", "_hi")
+    whole = sections.merge_overlapping(spans).drop("n_merged")
+    text = sections.with_content(sections.expand(whole, chunks, 0), texts)
+    full = whole.join(text, ["qid", "document_id", "position"])
     kept = sections.trim_by_tokens(full.withColumn("tokens", n_words(F.col("content")) + s.metadata_token_estimate), "tokens", token_budget)
     return sections.number_citations(kept, s.llm_sections)

@@ -30,6 +30,7 @@ class Settings:
     result_window: int = 10_000
     hits: int = 50
     llm_sections: int = 25
+    selection_slack: float = 2.0
     undated_age_days: int = 90
     k1: float = 1.2
     b: float = 0.75
