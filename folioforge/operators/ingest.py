@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from folioforge.functions.documents import access_list, is_public
+from folioforge.operators.commits import Commits
 
 
 def _false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def gates(documents: DataFrame, records: DataFrame, ignore_time: bool = False, force: bool = False) -> DataFrame:
+def gates(documents: DataFrame, records: DataFrame, ignore_time: bool = False, force: bool = False, fold: bool = False) -> DataFrame:
     """(document_id, is_new, skip_time, skip_hash, process) of each document.
 
     documents: document_id, doc_updated_at, content_hash. A later time than the record's passes both gates, an older or
-    equal one fails the first; without both times the hash decides.
+    equal one fails the first; without both times the hash decides, with ``fold`` in any case of letters and whatever blanks around it.
     """
     d = documents.select("document_id", F.col("doc_updated_at").alias("t"), F.col("content_hash").alias("h"))
     r = records.select("document_id", F.col("doc_updated_at").alias("rt"), F.col("content_hash").alias("rh"), F.lit(True).alias("known"))
+    norm = lambda x: F.lower(F.trim(x)) if fold else x
     j = d.join(r, "document_id", "left")
     advanced = _false(F.date_trunc("second", "t") > F.date_trunc("second", "rt"))
     skip_time = F.lit(not ignore_time and not force) & F.col("t").isNotNull() & F.col("rt").isNotNull() & ~advanced
-    skip_hash = F.lit(not force) & ~advanced & _false(F.col("known")) & _false(F.col("h") == F.col("rh"))
+    skip_hash = F.lit(not force) & ~advanced & _false(F.col("known")) & _false(norm(F.col("h")) == norm(F.col("rh")))
     return j.select("document_id", F.col("known").isNull().alias("is_new"), skip_time.alias("skip_time"), skip_hash.alias("skip_hash"), (~(skip_time | skip_hash)).alias("process"))
 
 
@@ -105,56 +108,101 @@ def mark_indexed(records: DataFrame, updates: DataFrame) -> DataFrame:
     return j.select(*[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in records.columns])
 
 
+#: Buckets of a snapshot table, by a hash of the document.
+BUCKETS = 16
+
+
 class Snapshots:
-    """A table as immutable snapshots with a pointer; readers see a commit whole or not at all.
+    """A table as immutable files in buckets by document, with a log of commits; readers see a commit whole or not at all.
 
-    The pointer is a file per version whose appearance is the commit. A batch id that was committed before is
-    not committed again, which makes a stream's retries harmless.
+    A commit names the folder of each bucket, and only the buckets of the documents it touches are written anew. A batch that
+    was committed before is not committed again, which makes a stream's retries harmless. Of two writers one gets a `Conflict`.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._hadoop(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.log = Commits(spark, f"{self.folder}/_commits")
 
-    def versions(self) -> list[str]:
-        at = self._hadoop(f"{self.folder}/_versions")
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*sorted(paths))
 
     def current(self) -> DataFrame | None:
-        v = [x for x in self.versions() if not x.startswith(".")]
-        return self.spark.read.parquet(f"{self.folder}/{v[-1].split('--')[1]}") if v else None
+        last = self.log.last()
+        return self._read([p for ps in last["paths"].values() for p in ps]) if last and last["paths"] else None
 
     def has_batch(self, batch: str) -> bool:
-        return any(v.endswith(f"--{batch}") for v in self.versions())
+        return any(c["batch"] == batch for c in self.log.all())
+
+    def _write(self, df: DataFrame, touched: list[int], kept: dict, batch: str, add: bool = False) -> str:
+        name = f"data-{uuid.uuid4().hex}"
+        last = self.log.last()
+        target = f"{self.folder}/{name}"
+        df.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(target)
+        made = {f.rpartition("=")[2] for f in self.log.folders(target)}
+        paths = {b: list(ps) for b, ps in kept.items()}
+        for b in map(str, touched):
+            own = [f"{target}/_bucket={b}"] if b in made else []
+            # a bucket that was emptied keeps no folder
+            paths[b] = (paths.get(b, []) if add else []) + own
+        self.log.claim(last["number"] + 1 if last else 1, {"paths": {b: ps for b, ps in paths.items() if ps}, "batch": batch})
+        return name
 
     def commit(self, df: DataFrame, batch: str = "none") -> str:
+        """The whole table anew."""
         if batch != "none" and self.has_batch(batch):
             return batch
-        name = f"data-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{name}")
-        n = len(self.versions()) + 1
-        mark = self._hadoop(f"{self.folder}/_versions/{n:08d}--{name}--{batch}")
-        self._fs.mkdirs(mark.getParent())
-        if any(v.startswith(f"{n:08d}--") for v in self.versions()) or not self._fs.createNewFile(mark):
-            raise RuntimeError("another writer committed first")
-        return name
+        return self._write(df, list(range(self.buckets)), {}, batch)
 
-    def replace(self, chunks: DataFrame, batch: str = "none") -> str:
+    def _touched(self, documents: DataFrame) -> list[int]:
+        return [r.b for r in documents.select(self._bucket().alias("b")).distinct().collect()]  # at most a row for each bucket
+
+    def _part(self, touched: list[int]) -> DataFrame | None:
+        last = self.log.last()
+        paths = [p for b in map(str, touched) for p in (last or {"paths": {}})["paths"].get(b, [])]
+        return self._read(paths) if paths else None
+
+    def _rewrite(self, documents: DataFrame, change: Callable[[DataFrame | None], DataFrame | None], batch: str) -> str | None:
+        if batch != "none" and self.has_batch(batch):
+            return batch
+        touched = self._touched(documents)
+        df = change(self._part(touched)) if touched else None
+        if df is None:
+            return None
+        last = self.log.last()
+        return self._write(df, touched, last["paths"] if last else {}, batch)
+
+    def replace(self, chunks: DataFrame, batch: str = "none") -> str | None:
         """Replaces the chunks' documents and commits; committing a batch again does nothing."""
+        return self._rewrite(chunks, lambda now: chunks if now is None else replace(now, chunks), batch)
+
+    def remove(self, documents: DataFrame, batch: str = "none") -> str | None:
+        return self._rewrite(documents, lambda now: None if now is None else delete(now, documents), batch)
+
+    def patch(self, changes: DataFrame, batch: str = "none") -> str | None:
+        return self._rewrite(changes, lambda now: None if now is None else patch(now, changes), batch)
+
+    def append(self, rows: DataFrame, batch: str = "none") -> str:
         if batch != "none" and self.has_batch(batch):
             return batch
-        now = self.current()
-        return self.commit(chunks if now is None else replace(now, chunks), batch)
+        last = self.log.last()
+        return self._write(rows, list(range(self.buckets)), last["paths"] if last else {}, batch, add=True)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes the folders that none of the last ``keep`` commits names; only while nobody writes."""
+        named = {p.rpartition("/_bucket=")[0] for c in self.log.all()[-keep:] for ps in c["paths"].values() for p in ps}
+        for f in self.log.folders(self.folder):
+            if f.startswith("data-") and f"{self.folder}/{f}" not in named:
+                self.log.remove(f"{self.folder}/{f}")
 
 
 def merge_corpora(parts: list[DataFrame], key: list[str]) -> DataFrame:
-    """The union of corpora, refused if two rows share a key."""
+    """The union of corpora; reading it fails if two rows share a key, without a pass of its own before."""
     u = reduce(lambda a, b: a.unionByName(b), parts)
-    twice = u.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if twice:
-        raise ValueError("two corpora share a key")
-    return u
+    n = F.count("*").over(Window.partitionBy(*key))
+    return u.withColumn("_n", F.when(n == 1, n).otherwise(F.raise_error(F.lit("two corpora share a key")).cast("long"))).where("_n = 1").drop("_n")
 
 
 def random_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,8 +68,14 @@ def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, qid:
                 at, x = _matrix(b.column(1), dim)
                 s = np.concatenate([best_s, (1 + q @ x.T) / 2], 1)
                 names = np.concatenate([best_k, np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False)[at], (len(ids), len(at)))], 1)
-                # the score is rounded so that ties go by key as elsewhere
-                o = np.lexsort((names, -np.round(s, 9)), axis=1)[:, :k]
+                # the score is rounded so that ties go by key as elsewhere; only what reaches the k-th score is sorted
+                r = np.round(s, 9)
+                if s.shape[1] > k:
+                    least = np.partition(r, r.shape[1] - k, axis=1)[:, r.shape[1] - k, None]
+                    at = [np.flatnonzero(x) for x in r >= least]
+                    o = np.stack([a[np.lexsort((names[i, a], -r[i, a]))[:k]] for i, a in enumerate(at)])
+                else:
+                    o = np.lexsort((names, -r), axis=1)
                 best_s, best_k = np.take_along_axis(s, o, 1), np.take_along_axis(names, o, 1)
             m = best_s.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(m)], pa.string()), pa.array(best_k.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], ["qid", key, "score"])
@@ -91,22 +98,31 @@ def hash_embedding(text: str, dim: int, query: bool = False) -> np.ndarray:
     return v / n if n else np.eye(1, dim)[0]
 
 
-def embed(df: DataFrame, text: str, to: str, dim: int = DEFAULT.dim, query: bool = False, embedder=hash_embedding) -> DataFrame:
-    """Adds a vector column by any embedder (text, dim, query) -> array; null texts get null. A failing text gets null too."""
+def embed(df: DataFrame, text: str, to: str, dim: int = DEFAULT.dim, query: bool = False, embedder=hash_embedding, failed: str | None = None, tries: int = 3) -> DataFrame:
+    """Adds a vector column by any embedder (text, dim, query) -> array; null texts get null.
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            try:
-                return embedder(t, dim, query).astype(np.float32)
-            except Exception:  # noqa: BLE001 - a text that can't be embedded fails alone
-                return None
-
-        return s.map(one)
+    A text is tried up to ``tries`` times, with a doubling wait after errors of the connection; one that fails gets null, and its reason in the column ``failed`` if named.
+    """
 
-    return df.withColumn(to, run(F.col(text)))
+    @F.pandas_udf("vector array<float>, reason string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        def one(t):
+            for n in range(tries):
+                try:
+                    return (None if t is None else embedder(t, dim, query).astype(np.float32)), None
+                except OSError as e:  # connections and time-outs
+                    why = e
+                    if n + 1 < tries:
+                        time.sleep(0.1 * 2**n)
+                except Exception as e:  # noqa: BLE001 - a text that can't be embedded fails alone
+                    return None, f"{type(e).__name__}: {e}"
+            return None, f"{type(why).__name__}: {why}"
+
+        both = [one(t) for t in s]
+        return pd.DataFrame({"vector": [v for v, _ in both], "reason": [w for _, w in both]})
+
+    out = df.withColumn("_embedded", run(F.col(text))).withColumn(to, F.col("_embedded.vector"))
+    return (out if failed is None else out.withColumn(failed, F.col("_embedded.reason"))).drop("_embedded")
 
 
 def embed_distinct(df: DataFrame, text: str, to: str, dim: int = DEFAULT.dim, embedder=hash_embedding) -> DataFrame:

@@ -238,7 +238,7 @@ def _phrase_cte(name: str, text: str, q: str, base: str = "b", where: str = "tru
     at = lambda i, o: f"terms[k + {i} - 1 + {o}] = want[{i}]"
     return f"""{name}_n AS (SELECT qid, want, len(list_distinct(want)) AS n FROM {q} WHERE len(want) > 0), {name}_w AS (SELECT DISTINCT qid, unnest(want) AS term FROM {name}_n),
 {name}_h AS (SELECT qid, chunk_uid, any_value(l) AS l, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS idf, count(*) AS held FROM {base}_p JOIN {name}_w USING (term) JOIN {base}_d USING (term), {base}_s GROUP BY 1, 2),
-{name}_f AS (SELECT h.qid, h.chunk_uid, h.l, h.idf, len(list_filter(range(1, l + 1), lambda k: list_bool_and(list_transform(range(1, len(want) + 1), lambda i: {at('i', 0)})))) AS e,
+{name}_f AS (SELECT h.qid, h.chunk_uid, h.l, h.idf, len(list_filter(range(1, l + 1), lambda k: list_bool_and(list_transform(range(1, len(want) + 1), lambda i: coalesce({at('i', 0)}, false))))) AS e,
   len(list_filter(range(1, l + 1), lambda k: list_bool_and(list_transform(range(1, len(want) + 1), lambda i: coalesce({at('i', 0)}, false) OR coalesce({at('i', 1)}, false))))) AS o
   FROM {name}_h h JOIN {name}_n n ON n.qid = h.qid AND n.n = h.held JOIN {base}_t t ON t.chunk_uid = h.chunk_uid),
 {name} AS (SELECT qid, chunk_uid, idf * fr / (fr + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l / a)) AS score FROM (SELECT *, CASE WHEN e > 0 THEN e::DOUBLE ELSE o * 0.5::DOUBLE END AS fr FROM {name}_f), {base}_s WHERE fr > 0)"""

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.operators import ingest as ops, vectors
+from folioforge.operators import lexical, vectors
 from folioforge.operators.filters import Filters
 from folioforge.plans import answer as answers, search as plans
 from folioforge.settings import DEFAULT, Settings
@@ -17,7 +17,8 @@ from folioforge.streaming.ingest import Ingest
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, settings: Settings = DEFAULT, embedder=vectors.hash_embedding) -> None:
         self.spark, self.settings, self.embedder = spark, settings, embedder
-        self.store = Ingest(spark, folder, settings)
+        self.store = Ingest(spark, folder, settings, embedder)
+        self._index: tuple[int, lexical.TextIndex] | None = None
 
     def extract(self, path: str) -> DataFrame:
         """Files as documents with sections; failures are a column."""
@@ -25,32 +26,39 @@ class Engine:
 
     def ingest(self, deliveries: DataFrame, batch: str) -> DataFrame:
         """Ingests a batch of deliveries and gives its counters; a batch of the same name is ingested once."""
-        before = ops.gates(ops.current_versions(deliveries).withColumn("doc_updated_at", F.col("doc_updated_at").cast("timestamp")), self.store.records())
-        count = before.agg(F.count("*").alias("total"), F.count_if("process").alias("indexed"), F.count_if(~F.col("process")).alias("skipped"), F.count_if(F.col("process") & F.col("is_new")).alias("new")).collect()
         self.store.batch(deliveries, batch)
-        return self.spark.createDataFrame(count, "total long, indexed long, skipped long, new long")
+        is_ = lambda *o: F.col("outcome").isin(*o)
+        return self.store.outcomes(batch).agg(
+            F.count("*").alias("total"), F.count_if(is_("indexed")).alias("indexed"), F.count_if(is_("skipped")).alias("skipped"), F.count_if(is_("indexed") & F.col("is_new")).alias("new"),
+            F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.count_if(is_("failed", "too_long")).alias("failures"))
+
+    def failures(self, batch: str | None = None) -> DataFrame:
+        """(batch, document_id, outcome, reason) of the documents that were to be indexed and were not."""
+        return self.store.outcomes(batch).where(F.col("outcome").isin("failed", "too_long")).select("batch", "document_id", "outcome", "reason")
 
     def delete(self, documents: DataFrame) -> None:
         """The index first, then the records, so that a failure between leaves nothing that can be found."""
-        for s in (self.store.chunks, self.store.records_at):
-            now = s.current()
-            if now is not None:
-                s.commit(ops.delete(now, documents))
+        self.store.chunks.remove(documents)
+        self.store.records_at.remove(documents)
 
     def index(self) -> DataFrame:
-        """The current rows as a search reads them, with vectors from the embedder."""
+        """The current rows as a search reads them; vectors were written when they were ingested."""
         c = self.store.chunks.current()
         if c is None:
             raise ValueError("nothing is indexed yet")
-        rows = c.withColumn("chunk_uid", F.xxhash64("document_id", "max_chunk_size", "chunk_index")).withColumn("title", F.regexp_replace("title_prefix", r"[\n\r]+$", "")).withColumn("created_at", F.lit(None).cast("timestamp"))
-        for n in ("metadata_list", "document_sets"):
-            rows = rows if n in rows.columns else rows.withColumn(n, F.lit(None).cast("array<string>"))
-        return vectors.embed(rows.withColumnRenamed("source", "source_type"), "content", "content_vector", self.settings.dim, embedder=self.embedder)
+        return c
+
+    def text_index(self) -> lexical.TextIndex:
+        """The stored postings of the current rows, made once for each commit."""
+        number = (self.store.chunks.log.last() or {"number": 0})["number"]
+        if self._index is None or self._index[0] != number:
+            self._index = (number, lexical.TextIndex(self.index(), "chunk_uid"))
+        return self._index[1]
 
-    def search(self, queries: DataFrame, filters: Filters = Filters(), token_budget: int = 0) -> DataFrame:
+    def search(self, queries: DataFrame, filters: Filters = Filters(), token_budget: int = 0, m: plans.Models = plans.Models()) -> DataFrame:
         """queries: qid, query_text."""
         q = vectors.embed(queries, "query_text", "query_vector", self.settings.dim, True, self.embedder)
-        return plans.search(self.index(), q, filters, token_budget, self.settings)
+        return plans.search(self.index(), q, filters, token_budget, self.settings, m, self.text_index())
 
     def answer(self, question: str, model: answers.Model, filters: Filters = Filters()) -> Iterator[dict]:
         def look(q: str, start: int) -> list[dict]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioforge.functions.text import n_words
 from folioforge.operators import citations, sections
+from folioforge.session import cut
 from folioforge.settings import DEFAULT, Settings
 
 Text = Callable[[str], str | None]
@@ -57,7 +58,7 @@ def select_sections(found: DataFrame, choose: Text | None, most: int = DEFAULT.m
     if choose is None:
         return first
     prompts = found.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda x: F.concat(F.lit("["), (x["position"] - 1).cast("string"), F.lit("] "), F.left(F.coalesce(x["content"], F.lit("")), F.lit(500)))), "\n").alias("prompt"), F.count("*").cast("int").alias("n"))
-    answers = apply(prompts, "prompt", "answer", choose)
+    answers = cut(apply(prompts, "prompt", "answer", choose), "answers")
     picks = answers.select("qid", F.slice(citations.parse_selection(F.coalesce("answer", F.lit("")), F.col("n")), 1, most).alias("picks"))
     chosen = found.join(picks, "qid").withColumn("picked", F.array_position("picks", (F.col("position") - 1).cast("int")).cast("int")).where("picked > 0").drop("picks")
     none = picks.where(F.size("picks") == 0).select("qid")
@@ -70,7 +71,7 @@ def expand_relevant(found: DataFrame, chunks: DataFrame, classify: Text | None)
     Classes: 0 not relevant, which keeps the section as it is, 1 the section alone, 2 two chunks on both sides, 3 five. Class 1 without a model.
     """
     c = apply(found, "content", "_a", classify)
-    c = c.withColumn("_class", F.when(F.col("_a").isNull(), 1).otherwise(citations.parse_classification(F.col("_a")))).drop("_a")
+    c = cut(c.withColumn("_class", F.when(F.col("_a").isNull(), 1).otherwise(citations.parse_classification(F.col("_a")))).drop("_a"), "classified")
     parts = [sections.expand(c.where(w), chunks, r) for w, r in (("_class <= 1", 0), ("_class = 2", DEFAULT.near_radius), ("_class = 3", DEFAULT.full_radius))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

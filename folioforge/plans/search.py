@@ -12,6 +12,7 @@ from folioforge.functions.text import keywords, n_words
 from folioforge.operators import fusion, lexical, sections, vectors
 from folioforge.operators.filters import Filters, predicate
 from folioforge.plans import models
+from folioforge.session import cut
 from folioforge.settings import DEFAULT, Settings
 
 
@@ -71,7 +72,7 @@ def search(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(),
 
     Chunks of all variants become sections; a model may pick some within a budget of tokens and widen each; what overlaps then is one section.
     """
-    hits = run_variants(chunks, queries, filters, m, s, index)
+    hits = cut(run_variants(chunks, queries, filters, m, s, index), "hits")  # at most s.hits rows a query, read several times below
     texts = chunks.where(F.col("max_chunk_size") == s.chunk_tokens).select("document_id", "chunk_index", "content").dropDuplicates(["document_id", "chunk_index"])
     named = hits.join(chunks.select("chunk_uid", "document_id", "chunk_index"), "chunk_uid").groupBy("qid", "document_id", "chunk_index").agg(F.min("rank").alias("rank"))
     merged = sections.merge_adjacent(named).where(F.col("position") <= s.hits)
@@ -81,10 +82,10 @@ def search(chunks: DataFrame, queries: DataFrame, filters: Filters = Filters(),
         budget = int(s.llm_sections * s.chunk_tokens * s.selection_slack)
         within = sections.trim_by_tokens(shown.withColumn("tokens", n_words(F.col("content")) + s.metadata_token_estimate), "tokens", budget)
         picked = models.select_sections(within.select("qid", "position", "content"), m.select, s.max_sections).select("qid", "position", "picked")
-        merged = merged.join(picked, ["qid", "position"]).drop("position").withColumnRenamed("picked", "position")
+        merged = cut(merged.join(picked, ["qid", "position"]).drop("position").withColumnRenamed("picked", "position"), "picked")
     spans = merged.select("qid", "document_id", "first_chunk", "last_chunk", "center_chunk", "position")
     if m.classify is not None:
-        with_text = spans.join(sections.with_content(sections.expand(spans, chunks, 0), texts), ["qid", "document_id", "position"])
+        with_text = cut(spans.join(sections.with_content(sections.expand(spans, chunks, 0), texts), ["qid", "document_id", "position"]), "shown")
         wider = models.expand_relevant(with_text, chunks, m.classify)
         reach = wider.groupBy("qid", "document_id", "position").agg(F.min("chunk_index").alias("_lo"), F.max("chunk_index").alias("_hi"))
         spans = spans.join(reach, ["qid", "document_id", "position"], "left").withColumn("first_chunk", F.least("first_chunk", F.coalesce("_lo", "first_chunk"))).withColumn("last_chunk", F.greatest("last_chunk", F.coalesce("_hi", "last_chunk"))).drop("_lo", "_hi")

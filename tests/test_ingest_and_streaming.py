@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import incremental, ingest
+from folioforge.operators import incremental, ingest, vectors
 from folioforge.operators.commits import Commits, Conflict
 from folioforge.operators.incremental import IncrementalRun
 from folioforge.streaming.ingest import Ingest
@@ -86,10 +86,58 @@ def test_snapshots(spark, tmp_path):
     assert sorted((r.document_id, r.x) for r in s.current().collect()) == [("a", 9), ("b", 3)]
 
 
+def test_snapshots_rewrite_touched_buckets_only_and_refuse_a_second_writer(spark, tmp_path):
+    df = lambda *r: spark.createDataFrame(list(r), "document_id string, x int, public boolean")
+    s = ingest.Snapshots(spark, str(tmp_path / "t"), 8)
+    s.replace(df(*((f"d{i}", i, True) for i in range(40))), "b1")
+    before = s.log.last()["paths"]
+    s.replace(df(("d3", 99, True)), "b2")
+    after = s.log.last()["paths"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    s.patch(spark.createDataFrame([("d4", False)], "document_id string, public boolean"), "b3")
+    s.remove(df(("d5", 0, None)), "b4")
+    assert {r.document_id: (r.x, r.public) for r in s.current().collect()} == {f"d{i}": (99 if i == 3 else i, i != 4) for i in range(40) if i != 5}
+    s.vacuum(1)
+    assert s.current().count() == 39
+    with pytest.raises(Conflict):
+        s.log.claim(s.log.last()["number"], {"paths": {}, "batch": "x"})
+
+
+def delivery(spark, data):
+    """One delivery of the test data as a template."""
+    return spark.read.parquet(f"{data}/ingest_document.parquet").where("size(sections) > 0").limit(1)
+
+
+def test_steps_of_a_batch(spark, data, tmp_path):
+    one = delivery(spark, data)
+    text = lambda t: F.transform("sections", lambda x: x.withField("text", F.lit(t)).withField("type", F.lit("text")))
+    make = lambda name, t, h, title="T", mail="a@x", at=None: one.withColumn("document_id", F.lit(name)).withColumn("sections", text(t)).withColumn("title", F.lit(title)).withColumn("content_hash", F.lit(h)).withColumn("doc_updated_at", F.lit(at).cast("timestamp_ntz")).withColumn("external_access", F.struct(F.array(F.lit(mail)).alias("emails"), F.array().cast("array<string>").alias("groups"), F.lit(False).alias("is_public")))
+
+    def embedder(t, dim, query):
+        if "poison" in t:
+            raise ValueError("refused")
+        return vectors.hash_embedding(t, dim, query)
+
+    e = Ingest(spark, str(tmp_path / "e"), embedder=embedder)
+    rows = make("good", "some words", "H1").unionByName(make("bad", "poison here", "H2")).unionByName(make("blank", " ", "H3", "")).unionByName(make("also", "more words", "H4"))
+    e.batch(rows, "one")
+    got = {r.document_id: (r.outcome, r.reason) for r in e.outcomes("one").collect()}
+    assert got == {"good": ("indexed", None), "bad": ("failed", "ValueError: refused"), "blank": ("dropped", None), "also": ("indexed", None)}
+    now = e.chunks.current()
+    assert {r.document_id for r in now.collect()} == {"good", "also"} and now.where("size(content_vector) = 64 and title_vector is not null").count() == now.count()
+    marks = {r.document_id: r.last_indexed_at for r in e.records().collect()}
+    assert marks["bad"] is None and marks["good"] is not None
+    # the same hash in another case is skipped, but its new access reaches the chunks; what failed is tried again
+    e.batch(make("good", "some words", " h1 ", mail="b@x").unionByName(make("bad", "clean now", "H2")), "two")
+    assert {r.document_id: r.outcome for r in e.outcomes("two").collect()} == {"good": "skipped", "bad": "indexed"}
+    acl = {r.document_id: r.access_control_list for r in e.chunks.current().collect()}
+    assert acl["good"] == ["user_email:b@x"] and acl["also"] == ["user_email:a@x"] and set(acl) == {"good", "bad", "also"}
+
+
 def test_merge_of_corpora_is_refused_on_clashes(spark):
     a = spark.createDataFrame([("x",)], "k string")
-    with pytest.raises(ValueError):
-        ingest.merge_corpora([a, a], ["k"])
+    with pytest.raises(Exception, match="share a key"):
+        ingest.merge_corpora([a, a], ["k"]).collect()
 
 
 def test_streamed_ingest_equals_one_batch(spark, data, tmp_path):
@@ -100,7 +148,8 @@ def test_streamed_ingest_equals_one_batch(spark, data, tmp_path):
     q.awaitTermination()
     assert q.exception() is None
     docs = src.select("document_id").distinct().count()
-    assert e.records().count() == docs == e.chunks.current().select("document_id").distinct().count()
+    became = {r.outcome: r["count"] for r in e.outcomes("batch-0").groupBy("outcome").count().collect()}
+    assert sum(became.values()) == docs and e.records().count() == became["indexed"] == e.chunks.current().select("document_id").distinct().count()
     once = e.chunks.current().count()
     e.batch(src, "batch-0")  # a retried batch changes nothing
     assert e.chunks.current().count() == once
