@@ -22,6 +22,9 @@ _CONTROL = re.compile("[\x00-\x08\x0b-\x1f]")
 _COMPARED = re.compile(r'\s|\*|\\"|[.,:`"#-]')
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 
+#: Chunk indexes of one stretch of a document.
+STRETCH = 1024
+
 Counter = Callable[[str], int]
 
 
@@ -214,12 +217,29 @@ def chunk(documents: DataFrame, settings: Settings = DEFAULT, minis: bool = Fals
 _ARROW = pa.schema([("document_id", pa.string()), ("chunk_index", pa.int32()), ("max_chunk_size", pa.int32()), ("content", pa.string()), ("blurb", pa.string()), ("title_prefix", pa.string()), ("suffix_semantic", pa.string()), ("suffix_keyword", pa.string()), ("source_links", pa.list_(pa.struct([("offset", pa.int32()), ("link", pa.string())]))), ("is_continuation", pa.bool_()), ("image_file_id", pa.string()), ("minis", pa.list_(pa.string()))])
 
 
+def with_blobs(documents: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Documents whose tabular sections without text get it from ``blobs`` (file_id, content BINARY) by their csv_file_id.
+
+    Only the ids of such sections are joined; sections stay in order, those of unknown files as they are.
+    """
+    tables = documents.select("document_id", F.explode("sections.csv_file_id").alias("file_id")).where("file_id is not null").distinct()
+    found = tables.join(blobs.select("file_id", F.decode("content", "UTF-8").alias("text")), "file_id").groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("file_id", "text"))).alias("_blobs"))
+    j = documents.join(found, "document_id", "left")
+    filled = F.transform("sections", lambda s: s.withField("csv_text", F.when((s["type"] == "tabular") & s["csv_text"].isNull() & s["csv_file_id"].isNotNull(), F.try_element_at("_blobs", s["csv_file_id"])).otherwise(s["csv_text"])))
+    return j.withColumn("sections", F.when(F.col("_blobs").isNull(), F.col("sections")).otherwise(filled)).drop("_blobs")
+
+
 def large_chunks(chunks: DataFrame, ratio: int = DEFAULT.large_ratio) -> DataFrame:
     """(document_id, large_index, content, n): every ``ratio`` consecutive chunks as one, no single one at the end.
 
     They carry their own max_chunk_size, so that they never share a key with a small chunk.
     """
-    w = Window.partitionBy("document_id", "max_chunk_size").orderBy("chunk_index")
-    c = chunks.withColumn("large_index", F.floor((F.row_number().over(w) - 1) / ratio).cast("int"))
+    # places are counted within stretches of chunk indexes, and carried over by the stretches' counts, so that no task gets a large document whole
+    stretch = F.floor(F.col("chunk_index") / STRETCH)
+    c = chunks.withColumn("_s", stretch)
+    outer = Window.partitionBy("document_id", "max_chunk_size").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    before = c.groupBy("document_id", "max_chunk_size", "_s").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(outer), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("document_id", "max_chunk_size", "_s").orderBy("chunk_index")) + F.col("_before")
+    c = c.join(before, ["document_id", "max_chunk_size", "_s"]).withColumn("large_index", F.floor((place - 1) / ratio).cast("int"))
     g = c.groupBy("document_id", "max_chunk_size", "large_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("m")).where(F.size("m") > 1)
     return g.select("document_id", (F.col("max_chunk_size") * ratio).alias("max_chunk_size"), "large_index", F.array_join(F.transform("m", lambda x: F.coalesce(x["content"], F.lit(""))), SECTION_SEPARATOR).alias("content"), F.size("m").alias("n"))

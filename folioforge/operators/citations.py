@@ -221,3 +221,11 @@ def collapse_numbers(citations: DataFrame) -> DataFrame:
     ranked = fresh.withColumn("first", first)
     place = F.dense_rank().over(Window.partitionBy("answer_id", F.col("kept").isNull()).orderBy("first"))
     return ranked.select("answer_id", "number", F.coalesce("kept", F.coalesce("top", F.lit(0)) + place).cast("int").alias("new_number"))
+
+
+def sources_of(numbers: DataFrame, documents: DataFrame) -> DataFrame:
+    """(answer_id, number, document_id, and the columns of documents): the numbers that a model was shown with their documents; unknown documents are dropped.
+
+    numbers: answer_id, number, document_id; documents: document_id and what is shown of it, of repeated ones one.
+    """
+    return numbers.select("answer_id", "number", "document_id").join(documents.dropDuplicates(["document_id"]), "document_id").select("answer_id", "number", "document_id", *[c for c in documents.columns if c not in ("answer_id", "number", "document_id")])

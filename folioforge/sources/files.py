@@ -38,6 +38,7 @@ _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_CHART = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
 
 
 def extension(path: Column) -> Column:
@@ -92,22 +93,76 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(out)
 
 
+def _ref(target: str, base: str) -> str:
+    """The entry that a relationship's target names, relative to the folder of its part."""
+    return target[1:] if target.startswith("/") else posixpath.normpath(posixpath.join(base, target))
+
+
+def _relations(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """id: (type, entry) of a part's relationships."""
+    folder, name = posixpath.split(part)
+    at = f"{folder}/_rels/{name}.rels"
+    return {r.get("Id"): (r.get("Type", "").rsplit("/", 1)[-1], _ref(r.get("Target", ""), folder)) for r in ET.fromstring(z.read(at)) if r.get("TargetMode") != "External"} if at in z.namelist() else {}
+
+
+def _paragraphs(el: ET.Element) -> str:
+    return "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in el.iter(f"{_A}p")).strip()
+
+
 def pptx_text(data: bytes) -> str:
-    """Slides in order; shapes from top to bottom, then left to right."""
+    """Slides in order; shapes, tables, pictures' descriptions and charts from top to bottom, then left to right; notes last."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
         for i, n in enumerate(names, 1):
             shapes = []
-            for sp in ET.fromstring(z.read(n)).iter(f"{_P}sp"):
-                off = sp.find(f".//{_A}off")
-                text = "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in sp.iter(f"{_A}p")).strip()
+            for el in ET.fromstring(z.read(n)).iter():
+                if el.tag == f"{_P}sp":
+                    text = _paragraphs(el)
+                elif el.tag == f"{_P}graphicFrame":
+                    rows = ["\t".join(_paragraphs(c).replace("\n", " ") for c in r.iter(f"{_A}tc")) for r in el.iter(f"{_A}tr")]
+                    text = "\n".join(rows) or ("[chart]" if el.find(f".//{_CHART}chart") is not None else "")
+                elif el.tag == f"{_P}pic":
+                    about = el.find(f".//{_P}cNvPr")
+                    text = f"[image: {about.get('descr')}]" if about is not None and about.get("descr") else ""
+                else:
+                    continue
+                off = el.find(f".//{_A}off")
                 if text:
                     shapes.append((int(off.get("y", 0)) if off is not None else 0, int(off.get("x", 0)) if off is not None else 0, text))
-            out.append(f"<!-- Slide number: {i} -->\n" + "\n".join(t for *_, t in sorted(shapes)))
+            parts = [t for *_, t in sorted(shapes)]
+            for kind, entry in _relations(z, n).values():
+                if kind == "notesSlide" and entry in z.namelist():
+                    # the slide's number is a shape of the notes too
+                    said = [t for sp in ET.fromstring(z.read(entry)).iter(f"{_P}sp") if (t := _paragraphs(sp)) and not t.isdigit()]
+                    parts += ["Notes: " + " ".join(said)] if said else []
+            out.append(f"<!-- Slide number: {i} -->\n" + "\n".join(parts))
     return "\n\n".join(out)
 
 
+def office_images(data: bytes) -> list[tuple[str, bytes]]:
+    """(entry, bytes) of the images in a document or a presentation, of kinds that are taken."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return [(n, x) for n in sorted(z.namelist()) if re.match(r"(?:word|ppt)/media/", n) and image_type(x := z.read(n))]
+
+
+def is_protected(data: bytes, name: str) -> bool:
+    """Whether a file needs a password: encrypted PDF, office files in an encrypted container, archives with encrypted entries."""
+    ext = posixpath.splitext(name)[1].lower()
+    if ext == ".pdf":
+        return b"/Encrypt" in data[-4096:] or b"/Encrypt" in data[:4096]
+    if ext in (".docx", ".pptx", ".xlsx", ".xlsm"):
+        # fixed value: the signature of the container that encrypted office files are kept in
+        return data[:8] == bytes.fromhex("d0cf11e0a1b11ae1")
+    if ext in (".zip", ".epub"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                return any(i.flag_bits & 1 for i in z.infolist())
+        except zipfile.BadZipFile:
+            return False
+    return False
+
+
 def xlsx_sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
     """(sheet, rows) with empty rows left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -169,6 +224,9 @@ def sections(data: bytes, name: str, link: str | None = None) -> list[Section]:
     ext = posixpath.splitext(name)[1].lower()
     text = lambda t: [{"type": "text", "link": link, "text": t}] if t.strip() else []
     table = lambda t, i, heading=None: {"type": "tabular", "link": (link or name) + (f"#{heading}" if heading else ""), "heading": heading or name, "csv_file_id": f"{name}_csv_{i}", "csv_text": t}
+    if is_protected(data, name):
+        raise PermissionError("the file needs a password")
+    images = lambda: [{"type": "image", "link": link, "text": "", "image_file_id": f"{name}_img_{i}"} for i, _ in enumerate(office_images(data))]
     if ext in ADAPTERS:
         return ADAPTERS[ext](data, name)
     if ext == ".csv":
@@ -179,11 +237,11 @@ def sections(data: bytes, name: str, link: str | None = None) -> list[Section]:
         return [table(_csv(rows), i, s) for i, (s, rows) in enumerate(xlsx_sheets(data)) if rows]
     if ext == ".docx":
         try:
-            return text(docx_text(data))
+            return text(docx_text(data)) + images()
         except (zipfile.BadZipFile, KeyError, ET.ParseError):
             return text(decode(data)) if is_text(data) else []
     if ext == ".pptx":
-        return text(pptx_text(data))
+        return text(pptx_text(data)) + images()
     if ext == ".html":
         return text(flatten(decode(data), clean=True)[1])
     if ext == ".eml":

@@ -67,3 +67,59 @@ def test_files(spark, tmp_path):
     assert text["c.xlsx"] == [("tabular", "a,,c\n1\n")] and text["d.tsv"] == [("tabular", "x,y\n1,2\n")]
     assert text["e.bin"] == [] and "no reader" in got["e.bin"].failure and text["f.eml"][0][1].strip() == "mail body"
     assert text["g.zip!i.md"] == [("text", "inner")] and text["h.png"] == [("image", "")] and text["k.docx"] == [("text", "plain text")]
+
+
+def pack(entries):
+    import io
+    import zipfile
+
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w") as z:
+        for name, data in entries.items():
+            z.writestr(name, data)
+    return f.getvalue()
+
+
+def test_slides_with_tables_pictures_and_notes():
+    from folioforge.sources import files
+
+    a, p = files._A[1:-1], files._P[1:-1]
+    par = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    slide = f"""<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:graphicFrame><p:xfrm><a:off x="0" y="50"/></p:xfrm><a:tbl><a:tr><a:tc>{par('Room')}</a:tc><a:tc>{par('Seats')}</a:tc></a:tr></a:tbl></p:graphicFrame>
+    <p:pic><p:nvPicPr><p:cNvPr id="1" descr="floor plan"/></p:nvPicPr><p:spPr><a:off x="0" y="90"/></p:spPr></p:pic><p:sp><a:off x="0" y="10"/>{par('Rooms')}</p:sp></p:sld>"""
+    rels = '<Relationships><Relationship Id="r1" Type="http://x/notesSlide" Target="../notesSlides/n1.xml"/></Relationships>'
+    notes = f'<p:notes xmlns:p="{p}" xmlns:a="{a}"><p:sp>{par("mind the steps")}</p:sp><p:sp>{par("1")}</p:sp></p:notes>'
+    data = pack({"ppt/slides/slide1.xml": slide, "ppt/slides/_rels/slide1.xml.rels": rels, "ppt/notesSlides/n1.xml": notes, "ppt/media/i.png": b"\x89PNG\r\n\x1a\n....", "ppt/media/i.gif": b"GIF89a"})
+    got = files.sections(data, "s.pptx")
+    assert got[0]["text"].split("\n")[1:] == ["Rooms", "Room\tSeats", "[image: floor plan]", "Notes: mind the steps"]
+    assert [x["type"] for x in got] == ["text", "image"]
+
+
+def test_files_with_passwords():
+    from folioforge.sources import files
+
+    assert files.is_protected(b"%PDF-1.7 ... /Encrypt 5 0 R", "a.pdf") and not files.is_protected(b"%PDF-1.7", "a.pdf")
+    assert files.is_protected(bytes.fromhex("d0cf11e0a1b11ae1") + b"x", "a.docx") and not files.is_protected(pack({"a": "b"}), "a.zip")
+
+
+def test_blobs_fill_tables(spark):
+    from folioforge.operators import chunking
+
+    d = spark.createDataFrame([("a", [("tabular", "f1", None), ("text", None, None), ("tabular", "f9", None)]), ("b", [])], "document_id string, sections array<struct<type:string,csv_file_id:string,csv_text:string>>")
+    blobs = spark.createDataFrame([("f1", bytearray(b"x,y\n1,2"))], "file_id string, content binary")
+    got = {r.document_id: [s.csv_text for s in r.sections] for r in chunking.with_blobs(d, blobs).collect()}
+    assert got == {"a": ["x,y\n1,2", None, None], "b": []}
+
+
+def test_prompts_and_event_streams():
+    from datetime import datetime
+
+    from folioforge.plans import answer, prompts
+
+    now = datetime(2030, 5, 6, 7, 8)
+    p = prompts.system_prompt(now=now)
+    assert "Monday, 06 May 2030, 07:08" in p and "{{" not in p and prompts.CITING in p and prompts.SEARCHING in p
+    assert prompts.system_prompt("Be brief.", cite=False, search=False, now=now) == "Be brief.\nToday is Monday, 06 May 2030, 07:08."
+    assert prompts.reminder() is None and prompts.reminder(" a ", cite=True) == "a\n\n" + prompts.CITE_AGAIN
+    ev = [{"type": "delta", "text": "x"}, {"type": "delta", "text": "é"}, {"type": "done", "cited": ["d"]}]
+    assert list(answer.as_sse(iter(ev)))[1] == 'data: {"type": "delta", "text": "é"}\n\n' and answer.as_json(iter(ev))["answer"] == "xé"
