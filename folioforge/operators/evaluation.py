@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from folioforge.session import cut
+
 
 def _judged(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     return ranked.join(qrels.select("qid", "document_id", "relevance"), ["qid", "document_id"], "left").fillna({"relevance": 0})
@@ -36,10 +38,13 @@ def mrr(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
 
 def latency(times: DataFrame, column: str) -> DataFrame:
     """(p50, p95) with the ranks of a sorted list: n * 0.5 and n * 0.95 - 1."""
-    # equal times are counted before they are sorted, so that few rows are left for the one task that adds them up
+    # equal times are counted first; places are counted within range partitions and carried over by the partitions' counts
     c = times.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    n = c.agg(F.sum("c")).first()[0] or 0
-    c = c.withColumn("upto", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(column)))
+    parts = max(2, int(times.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    c = cut(c.repartitionByRange(parts, column).withColumn("_part", F.spark_partition_id()), "times")
+    before = c.groupBy("_part").agg(F.sum("c").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    n = before.agg(F.sum("_n")).first()[0] or 0
+    c = c.join(before, "_part").withColumn("upto", F.sum("c").over(Window.partitionBy("_part").orderBy(column)) + F.col("_before"))
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col(column)))
     return c.agg(at(n // 2).alias("p50"), at(max(0, int(n * 0.95) - 1)).alias("p95"))
 

@@ -93,6 +93,20 @@ def pack_lines(lines: list[str], prefix: str, count, limit: int) -> list[str]:
     return out
 
 
+# The sentences of stored sheet descriptors; they are searched for, so that their wording is a format.
+OVERVIEW = "Sheet overview.\nThis sheet has {rows} rows and {columns} columns."
+COLUMNS = "Columns: {names}"
+TIME_RANGE = "Time range: {first} to {last}."
+NUMERIC = "Numeric columns (aggregatable by sum, average, min, max): {names}"
+CATEGORICAL = "Categorical columns (groupable, can be counted by value): {names}"
+IDENTIFIER = "Identifier column: {name}."
+VALUES = "Values seen in {name}: {values}"
+TOTALS = "Sheet totals."
+TOTAL = "Column {name}: total (sum across all rows) = {total}, average = {average}, minimum = {minimum}, maximum = {maximum}, count = {count}."
+FREQUENT = "Column {name} most frequent value: {value} ({times} occurrences)."
+ROWS = "Total row count: {rows}."
+
+
 def describe(columns: list[str], rows: int, prof: list, tops: list, samples: dict[str, list[str]], heading: str = "", count=lambda t: len(t.split()), limit: int = 512) -> tuple[list[str], list[str]]:
     """(overview, totals) as packed texts; prof and tops are the bounded rows of `profile` and `top_values`."""
     if not columns:
@@ -103,22 +117,22 @@ def describe(columns: list[str], rows: int, prof: list, tops: list, samples: dic
     dates = [(r.date_min, r.date_max) for r in prof if r.kind == "date"]
     ids = [c for c in columns if "identifier" in kinds.get(c, "")]
     names = lambda cs: ", ".join(label(c) for c in cs)
-    lines = [f"Sheet overview.\nThis sheet has {rows} rows and {len(columns)} columns.", "Columns: " + names(columns)]
+    lines = [OVERVIEW.format(rows=rows, columns=len(columns)), COLUMNS.format(names=names(columns))]
     if dates:
-        lines.append(f"Time range: {min(a for a, _ in dates)} to {max(b for _, b in dates)}.")
+        lines.append(TIME_RANGE.format(first=min(a for a, _ in dates), last=max(b for _, b in dates)))
     if numeric:
-        lines.append("Numeric columns (aggregatable by sum, average, min, max): " + names(numeric[:12]))
+        lines.append(NUMERIC.format(names=names(numeric[:12])))
     if categorical:
-        lines.append("Categorical columns (groupable, can be counted by value): " + names(categorical[:6]))
+        lines.append(CATEGORICAL.format(names=names(categorical[:6])))
     if ids:
-        lines.append(f"Identifier column: {label(ids[0])}.")
-    seen = [f"Values seen in {label(c)}: " + ", ".join(sorted(samples.get(c, []))[:8]) for c in categorical[:4] if samples.get(c)]
+        lines.append(IDENTIFIER.format(name=label(ids[0])))
+    seen = [VALUES.format(name=label(c), values=", ".join(sorted(samples.get(c, []))[:8])) for c in categorical[:4] if samples.get(c)]
     if seen:
         lines.append("\n".join(seen))
     stats = {r.name: r for r in prof}
     f = _number_text
-    totals = [f"Column {label(c)}: total (sum across all rows) = {f(s.total)}, average = {f(s.average)}, minimum = {f(s.minimum)}, maximum = {f(s.maximum)}, count = {s.non_empty}." for c in numeric for s in [stats[c]]]
-    totals += [f"Column {label(t.name)} most frequent value: {t.value} ({t.times} occurrences)." for t in tops if t.name in categorical]
+    totals = [TOTAL.format(name=label(c), total=f(s.total), average=f(s.average), minimum=f(s.minimum), maximum=f(s.maximum), count=s.non_empty) for c in numeric for s in [stats[c]]]
+    totals += [FREQUENT.format(name=label(t.name), value=t.value, times=t.times) for t in tops if t.name in categorical]
     if totals:
-        totals.append(f"Total row count: {rows}.")
-    return pack_lines(lines, heading, count, limit), pack_lines(totals, (heading + "\n" if heading else "") + "Sheet totals.", count, limit) if rows and totals else []
+        totals.append(ROWS.format(rows=rows))
+    return pack_lines(lines, heading, count, limit), pack_lines(totals, (heading + "\n" if heading else "") + TOTALS, count, limit) if rows and totals else []
