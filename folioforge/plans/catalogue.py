@@ -575,6 +575,34 @@ def chunk_documents(spark, d):
     return chunking.chunk(_documents(spark, d)).select("document_id", "chunk_index", "content", "blurb", F.to_json("source_links").alias("source_links"))
 
 
+_CLEAN = lambda c: f"regexp_replace(regexp_replace({c}, '{T.NOISE}', '', 'g'), '{T.CONTROLS}', '', 'g')"
+_WORDS = lambda c: f"coalesce(len(list_filter(string_split_regex({c}, '[{SP}]+'), lambda w: w <> '')), 0)"
+
+
+@query(f"""WITH {_CUR}, t AS (SELECT document_id, sections FROM cur WHERE len(list_filter(sections, lambda s: s.type IN ('image', 'tabular'))) = 0)
+SELECT document_id, coalesce(list_sum(list_transform(sections, lambda s: {_WORDS(_CLEAN("coalesce(s.text, '')"))})), 0)::BIGINT AS n_words, true AS in_order, true AS starts_at_zero FROM t""")
+def chunk_word_totals(spark, d):
+    """Chunks hold every word of their documents' texts once, in order; of documents of text sections only."""
+    docs = _documents(spark, d).where(~F.exists("sections", lambda s: s["type"].isin("image", "tabular")))
+    c = chunking.chunk(docs).groupBy("document_id").agg(F.sum(T.n_words(F.col("content"))).alias("n_words"), F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"), F.min("chunk_index").alias("lo"), F.max("chunk_index").alias("hi"), F.count("*").alias("n"))
+    words = lambda t: F.array_join(T.words(t), " ")
+    want = docs.select("document_id", words(F.array_join(F.transform("sections", lambda s: F.coalesce(T.clean_text(s["text"]), F.lit(""))), " ")).alias("want"))
+    return c.join(want, "document_id").select("document_id", "n_words", (words(F.array_join(F.transform("c", lambda x: x["content"]), " ")) == F.col("want")).alias("in_order"), ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("starts_at_zero"))
+
+
+@query(f"WITH {C} SELECT chunk_uid, {_WORDS('content')} AS n_words, true AS in_order, true AS within FROM c WHERE {_WORDS('content')} > 0")
+def sentence_pack_totals(spark, d):
+    """Packs of sentences hold every word of a chunk in order, and only single sentences are above the limit."""
+    @F.pandas_udf("array<struct<text:string,sentences:int>>")
+    def run(s):
+        return s.map(lambda t: [{"text": x, "sentences": len(chunking.sentences(x))} for x in chunking.pack_sentences(t, DEFAULT.mini_tokens)] if t else [])
+
+    c = chunks(spark, d).where(T.n_words(F.col("content")) > 0).select("chunk_uid", "content", run(F.col("content")).alias("p"))
+    whole = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    n = F.aggregate("p", F.lit(0), lambda a, x: a + T.n_words(x["text"]))
+    return c.select("chunk_uid", n.alias("n_words"), (whole == F.col("content")).alias("in_order"), F.forall("p", lambda x: (T.n_words(x["text"]) <= DEFAULT.mini_tokens) | (x["sentences"] == 1)).alias("within"))
+
+
 @query()
 def sentence_pack(spark, d):
     @F.pandas_udf("array<string>")
@@ -625,7 +653,13 @@ def citation_collapse(spark, d):
     return citations.collapse_numbers(old.unionByName(new))
 
 
-@query()
+@query("""WITH p AS (SELECT DISTINCT qid, chunk_uid, chunk_index FROM search_hit), o AS (SELECT qid, document_id, row_number() OVER (PARTITION BY qid ORDER BY document_id) AS number FROM (SELECT DISTINCT qid, document_id FROM search_hit) QUALIFY number <= 4),
+m AS (SELECT qid, map_from_entries(list((number, document_id))) AS docs FROM o GROUP BY 1),
+n AS (SELECT p.qid, chunk_uid, chunk_index % 7 AS part, [chunk_index % 5 + 1, chunk_uid % 4 + 1, chunk_index % 3 + 1, chunk_uid % 6 + 1]::BIGINT[] AS x, docs FROM p LEFT JOIN m USING (qid)),
+l AS (SELECT *, list_transform(x, lambda v: coalesce('[[' || v || ']](https://files.example/' || docs[v] || ')', '')) AS y FROM n),
+f AS (SELECT qid, docs[v] AS doc, min(chunk_uid * 4 + i) AS first FROM (SELECT qid, chunk_uid, docs, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM n) WHERE docs[v] IS NOT NULL GROUP BY ALL)
+SELECT l.qid AS answer_id, string_agg('Part ' || part || ' ' || y[1] || ' and ' || y[2] || ' or ' || array_to_string(list_filter(y[3:4], lambda t: t <> ''), ' ') || '.', ' ' ORDER BY chunk_uid) AS rendered,
+coalesce((SELECT string_agg(doc, '|' ORDER BY first) FROM f WHERE f.qid = l.qid), '') AS cited FROM l GROUP BY l.qid""")
 def citation_render(spark, d):
     o = table(spark, d, "search_hit").select("qid", "document_id").distinct().withColumn("number", F.row_number().over(Window.partitionBy("qid").orderBy("document_id"))).where("number <= 4")
     return citations.render(_answers(spark, d), o.select(F.col("qid").alias("answer_id"), "number", "document_id", F.concat(F.lit("https://files.example/"), "document_id").alias("link"))).select("answer_id", "rendered", F.array_join("cited", "|").alias("cited"))
