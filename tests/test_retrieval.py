@@ -78,3 +78,25 @@ def test_given_hits_are_fused_whole(spark, tmp_path):
     assert catalogue.rrf_fusion(spark, str(tmp_path)).count() == 700
     best = catalogue.hybrid_minmax(spark, str(tmp_path)).where("chunk_uid = 650").first()
     assert abs(best.score - 0.5 * 650 / 699) < 1e-6
+
+
+def test_approximate_search_recalls_the_exact_one(spark, data):
+    big = data.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{big}/document_chunk.parquet").dropDuplicates(["chunk_uid"])
+    q = spark.read.parquet(f"{big}/search_query.parquet").select("qid", "query_vector").unionByName(rows.where("chunk_uid % 50 = 0").select(F.col("chunk_uid").cast("string").alias("qid"), F.col("content_vector").alias("query_vector")))
+    pairs = lambda df: {(r.qid, r.chunk_uid) for r in df.collect()}
+    exact, found = pairs(vectors.knn(rows, "chunk_uid", "content_vector", q, 10)), pairs(vectors.VectorIndex(rows, "chunk_uid", "content_vector").search(q, 10))
+    assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
+    assert vectors.VectorIndex(rows.limit(0), "chunk_uid", "content_vector").search(q, 10).count() == 0
+
+
+def test_stored_postings_serve_what_single_clauses_do(spark):
+    rows = spark.createDataFrame([(1, "Red fox", "a red fox runs"), (2, None, "red red fox"), (3, "fox", ""), (4, "", "none of it")], "chunk_uid long, title string, content string")
+    q = spark.createDataFrame([("q", "red fox"), ("r", "absent"), ("s", ""), ("t", None)], "qid string, query_text string")
+    whole = {(r.qid, r.chunk_uid): r.score for r in lexical.fields(rows, "chunk_uid", q).collect()}
+    parts = {}
+    for field, (plain, phrase) in lexical.FIELDS.items():
+        for df in (lexical.bm25(rows, "chunk_uid", field, q, boost=plain), lexical.phrases(rows, "chunk_uid", field, q, boost=phrase)):
+            for r in df.collect():
+                parts[(r.qid, r.chunk_uid)] = parts.get((r.qid, r.chunk_uid), 0) + r.score
+    assert set(whole) == set(parts) == {("q", 1), ("q", 2), ("q", 3)} and all(abs(whole[x] - parts[x]) < 1e-9 for x in whole)
