@@ -12,10 +12,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioforge.operators.best import Best, few_tasks
 from folioforge.session import cut_by
 from folioforge.settings import DEFAULT
 
 #: Queries that are held against all rows at once; more go in further blocks.
+QUERIES = 4096
+#: Rows of a cell that are read at once, in sixteenths.
 BLOCK = 1024
 
 
@@ -43,7 +46,7 @@ def _blocks(queries: DataFrame, qid: str, vector: str, dim: int) -> Iterator[tup
         if len(r[1]) == dim and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1]):
             ids.append(r[0])
             rows.append(r[1])
-        if len(ids) == BLOCK:
+        if len(ids) == QUERIES:
             yield ids, np.array(rows)
             ids, rows = [], []
     if ids:
@@ -53,41 +56,38 @@ def _blocks(queries: DataFrame, qid: str, vector: str, dim: int) -> Iterator[tup
 def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, qid: str = "qid", query_vector: str = "query_vector", dim: int = DEFAULT.dim) -> DataFrame:
     """(qid, key, score, rank): the k rows with the largest (1 + cosine) / 2 of each query.
 
-    A block of queries is multiplied with every batch of rows; only each task's k best leave it. Rows are filtered before.
+    A block of queries is multiplied with every batch of rows; only each task's k best leave it, of two tasks a core. Rows are filtered before.
     """
     if k > DEFAULT.result_window:
         raise ValueError(f"k is above the result window of {DEFAULT.result_window}")
     spark = rows.sparkSession
-    source = rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    source = few_tasks(rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")))
     out = None
     for ids, q in _blocks(queries, qid, query_vector, dim):
-        shared = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+        shared = spark.sparkContext.broadcast(q / np.linalg.norm(q, axis=1, keepdims=True))
 
         def run(batches, shared=shared):
-            ids, q = shared.value
-            best_s, best_k = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+            q = shared.value
+            kept = Best(len(q), k)
             for b in batches:
                 at, x = _matrix(b.column(1), dim)
-                s = np.concatenate([best_s, (1 + q @ x.T) / 2], 1)
-                names = np.concatenate([best_k, np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False)[at], (len(ids), len(at)))], 1)
-                # the score is rounded so that ties go by key as elsewhere; only what reaches the k-th score is sorted
-                r = np.round(s, 9)
-                if s.shape[1] > k:
-                    least = np.partition(r, r.shape[1] - k, axis=1)[:, r.shape[1] - k, None]
-                    at = [np.flatnonzero(x) for x in r >= least]
-                    o = np.stack([a[np.lexsort((names[i, a], -r[i, a]))[:k]] for i, a in enumerate(at)])
-                else:
-                    o = np.lexsort((names, -r), axis=1)
-                best_s, best_k = np.take_along_axis(s, o, 1), np.take_along_axis(names, o, 1)
-            m = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(m)], pa.string()), pa.array(best_k.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], ["qid", key, "score"])
-
-        part = source.mapInArrow(run, f"qid string, `{key}` long, score double")
+                names = b.column(0).to_numpy(zero_copy_only=False)[at]
+                for a in range(0, len(x), 2048):
+                    s, some = (1 + q @ x[a : a + 2048].T) / 2, names[a : a + 2048]
+                    for i, row in enumerate(s):
+                        hit = np.flatnonzero(row >= kept.least[i])
+                        if len(hit):
+                            kept.add(i, row[hit], some[hit])
+            for a in range(0, len(q), 1000):
+                i, some, score = kept.rows(a, a + 1000)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(some, pa.int64()), pa.array(score, pa.float64())], ["_q", key, "score"])
+
+        w = Window.partitionBy("_q").orderBy(F.round("score", 9).desc(), key)
+        best = source.mapInArrow(run, f"_q int, `{key}` long, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        names = spark.createDataFrame(pa.table({"_q": pa.array(range(len(ids)), pa.int32()), "qid": pa.array(ids, pa.string())}))
+        part = best.join(names, "_q").select("qid", key, "score", "rank")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"qid string, `{key}` long, score double")
-    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), key)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return spark.createDataFrame([], f"qid string, `{key}` long, score double, rank int") if out is None else out
 
 
 class VectorIndex:

@@ -159,3 +159,18 @@ def test_phrases_of_long_queries_are_asked_to_their_end(spark, tmp_path):
     got = sorted((tuple(r) for r in df.collect()), key=repr)
     assert got == _by_sql(catalogue.SQL["phrase_slop1"], tmp_path, df.columns)
     assert {"q/43/2", "q/41/1", "q/39/3", "q/2/2"} <= {r[0] for r in got}
+
+
+def test_hybrid_search_sends_only_the_best_of_each_task(spark, shared_words):
+    from dataclasses import replace
+
+    from folioforge.plans import search
+    from folioforge.settings import DEFAULT
+
+    rows, q = (spark.read.parquet(f"{shared_words}/{t}.parquet") for t in ("document_chunk", "search_query"))
+    rows, few = rows.dropDuplicates(["chunk_uid"]), replace(DEFAULT, candidates=10)
+    before = _shuffled(spark)
+    got = {(r.qid, r.chunk_uid, r.rank): r.score for r in search.hybrid(rows, q, n=5, s=few).collect()}
+    assert _shuffled(spark) - before < 40_000
+    stored = {(r.qid, r.chunk_uid, r.rank): r.score for r in search.hybrid(rows, q, n=5, s=few, index=lexical.TextIndex(rows, "chunk_uid")).collect()}
+    assert set(got) == set(stored) and all(abs(got[x] - stored[x]) < 1e-9 for x in got)
